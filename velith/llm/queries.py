@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velith.llm import decontamination, sentencepiece_codec, token_output, warc
+from velith.llm import decontamination, line_dedup, sentencepiece_codec, token_output, warc
 from velith.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "n_lines", "n_removed", "emptied")
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -62,4 +67,20 @@ ORACLE_SQL = {
                CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to, 'ok' AS status
         FROM g
     """,
+    "op8_line_dedup": r"""
+        WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE text IS NOT NULL),
+        l AS (SELECT doc_id, line, t, len(regexp_extract_all(t, '\S+')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS k FROM raw WHERE regexp_matches(t, '\S')),
+        c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM l),
+        f AS (SELECT a.doc_id, a.k AS ks, min(b.k) AS ke FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.k < a.k + 50 AND b.upto >= a.upto - a.w + 50 GROUP BY ALL),
+        r AS (SELECT b.doc_id, max(a.k) AS ks, b.k AS ke FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.k < a.k + 50 AND b.upto >= a.upto - a.w + 50 GROUP BY b.doc_id, b.k),
+        win AS (SELECT * FROM f UNION SELECT * FROM r),
+        txt AS (SELECT win.doc_id, ks, ke, string_agg(c.t, chr(10) ORDER BY c.k) AS g FROM win JOIN c ON c.doc_id = win.doc_id AND c.k BETWEEN ks AND ke GROUP BY ALL),
+        fst AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, ks) AS nth FROM txt),
+        span AS (SELECT fst.doc_id, a.line AS la, b.line AS lb FROM fst JOIN c a ON a.doc_id = fst.doc_id AND a.k = ks JOIN c b ON b.doc_id = fst.doc_id AND b.k = ke WHERE nth > 1),
+        del AS (SELECT DISTINCT raw.doc_id, raw.line FROM raw JOIN span ON raw.doc_id = span.doc_id AND raw.line BETWEEN la AND lb),
+        own AS (SELECT raw.doc_id, count(*) AS n_lines, count(del.line) AS n_removed, string_agg(t, chr(10) ORDER BY raw.line) FILTER (WHERE del.line IS NULL) AS text FROM raw LEFT JOIN del ON raw.doc_id = del.doc_id AND raw.line = del.line GROUP BY raw.doc_id)
+        SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(own.text, '') END AS text, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines,
+               CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed, coalesce(n_removed > 0 AND NOT regexp_matches(coalesce(own.text, ''), '\S'), false) AS emptied
+        FROM documents d LEFT JOIN own USING (doc_id)
+    """,
 }
