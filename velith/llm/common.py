@@ -6,6 +6,7 @@ import atexit
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,3 +87,26 @@ def by_bytes(texts: list[bytes], most: int = 4 << 20) -> Iterator[tuple[int, int
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of a column; null becomes the empty text."""
     return [x or "" for x in column.to_pylist()]
+
+
+def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Consecutive rows with equal first ``n_keys`` columns as one table each; groups may run over batch ends.
+
+    The plan above must have sorted by these columns, and bounded the size of a group.
+    """
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in range(n_keys)], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            key = tuple(keys[start].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velith.llm.common import materialise, slices
+from velith.llm.common import grouped, materialise, slices
 from velith.llm.components import components
 
 BUCKETS, ROWS, MANTISSA = 128, 4, 10
@@ -204,27 +204,10 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
     def run(batches):
-        held: list[np.ndarray] = []
-        last = None
-
-        def flush():
-            if held:
-                rows = [np.concatenate([h[k] for h in held]) for k in range(5)]
-                held.clear()
-                yield from compare(rows)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([np.array(batch.column(k)).astype(np.int64) for k in range(4)], axis=1)
-            rows = [*(np.array(batch.column(k)) for k in (4, 5, 6, 7)), np.array(batch.column(8).flatten()).reshape(-1, BANDS).view("<u2")]
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for start, end in zip(cuts, cuts[1:]):
-                if last is not None and tuple(keys[start]) != last:
-                    yield from flush()
-                last = tuple(keys[start])
-                held.append([r[start:end] for r in rows])
-        yield from flush()
+        for group in grouped(batches, 4):
+            group = group.combine_chunks()
+            regs = np.asarray(group.column(8).combine_chunks().flatten()).reshape(-1, BANDS).view("<u2")
+            yield from compare([*(np.asarray(group.column(k)) for k in (4, 5, 6, 7)), regs])
 
     # A row of block i meets blocks 0..n-1: it goes to the tasks (i, j), left where it is the lower, right where the higher.
     dealt = members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velith.llm import decontamination, line_dedup, near_dedup, sentencepiece_codec, token_output, warc
+from velith.llm import decontamination, embedding_dedup, line_dedup, near_dedup, sentencepiece_codec, token_output, warc
 from velith.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "status")
 
 
+def op6_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -82,6 +86,17 @@ ORACLE_SQL = {
                CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to, 'ok' AS status
         FROM g
     """,
+    "op6_rp_forest": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+              AND list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= CAST(0.93 AS DOUBLE)),
+        reach AS (SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT reach.vec_id, e.b FROM reach JOIN e ON e.a = reach.r),
+        c AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id),
+        n AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+        SELECT m.vec_id, coalesce(n_links, 0) AS n_links, component_id, m.vec_id = component_id AS kept
+        FROM embeddings m JOIN c USING (vec_id) LEFT JOIN n ON n.a = m.vec_id
+    """,
     "op8_line_dedup": r"""
         WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE text IS NOT NULL),
         l AS (SELECT doc_id, line, t, len(regexp_extract_all(t, '\S+')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS k FROM raw WHERE regexp_matches(t, '\S')),
