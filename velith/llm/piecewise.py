@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,10 +24,20 @@ OTHER = re.compile(r"[^\t-\r\x20-\x7e\x85\xa0-ɏ‐-‧‰-⁞€]")
 CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
+def _printable() -> dict[int, str]:
+    """The public byte alphabet of byte-level BPE: printable bytes stand for themselves, others for U+0100 onwards."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_PRINTABLE = _printable()
+
+
 class ByteBpe:
     """One loaded tokenizer file of the kind with a byte-level pre-tokenizer; other kinds are run over whole texts."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -43,6 +54,11 @@ class ByteBpe:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, segments: list[str]) -> list[bytes]:
+        """Pre-tokens straight to the library's merge model, which takes each byte as one printable character."""
+        tokenize, table = self.lib.model.tokenize, _PRINTABLE
+        return [array("I", [t.id for t in tokenize(s.encode().decode("latin-1").translate(table))]).tobytes() for s in segments]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text the ids as little-endian uint32 bytes, without special tokens."""
         whole = [not self.plain or OTHER.search(t) is not None or (self.added is not None and self.added.search(t) is not None) for t in texts]
@@ -59,7 +75,7 @@ class ByteBpe:
             else:
                 new.append(s)
         if new:
-            young.update(zip(new, self._library(new), strict=True))
+            young.update(zip(new, self._pieces(new), strict=True))
         slow = iter(self._library([t for t, w in zip(texts, whole, strict=True) if w]))
         return [next(slow) if w else b"".join(map(young.__getitem__, cut)) for w, cut in zip(whole, cuts, strict=True)]
 

@@ -184,7 +184,7 @@ def read_shards(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     part = rows[k : k + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], pa.int64()) for c in range(4)], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
-    spread = manifest.select("uri", "start").repartition("uri")
+    spread = manifest.select("uri", "start").repartition(max(1, manifest.count()), "uri")
     return spread.mapInArrow(run, f"{id_col} long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -197,7 +197,7 @@ def read_ids(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 for doc, start, ids in ShardReader(uri).documents():
                     yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([base + start], pa.int64()), pa.array([ids.tolist()], pa.list_(pa.int64()))], names=[id_col, "start", "ids"])
 
-    return manifest.select("uri", "start").repartition("uri").mapInArrow(run, f"{id_col} long, start long, ids array<long>")
+    return manifest.select("uri", "start").repartition(max(1, manifest.count()), "uri").mapInArrow(run, f"{id_col} long, start long, ids array<long>")
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int, **options) -> DataFrame:
