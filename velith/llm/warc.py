@@ -178,7 +178,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
                     if rows:
                         yield pack(rows)
 
-    return manifest.select("uri").repartition("uri").mapInArrow(run, RECORD)
+    return manifest.select("uri").repartition(max(1, manifest.count()), "uri").mapInArrow(run, RECORD)
 
 
 def reassemble(records: DataFrame) -> DataFrame:
