@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velith.llm import decontamination, embedding_dedup, language_id, line_dedup, near_dedup, quality, sentencepiece_codec, token_output, warc
+from velith.llm import decontamination, embedding_dedup, language_id, line_dedup, near_dedup, quality, secrets_scan, sentencepiece_codec, token_output, warc
 from velith.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets_scan.scan(docs, secrets_scan.train(docs))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
