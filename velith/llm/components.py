@@ -6,6 +6,7 @@ very many neighbours is a skewed join that Spark splits, never a collected group
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +41,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges = materialise(_small_star(_large_star(edges)), "edges")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def local_roots(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Per row the least id of its part, for links between rows ``x`` and ``y`` of one small group."""
+    root = ids.copy()
+    while True:
+        before, least = root.copy(), np.minimum(root[x], root[y])
+        np.minimum.at(root, x, least)
+        np.minimum.at(root, y, least)
+        if (root == before).all():
+            return root

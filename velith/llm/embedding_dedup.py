@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velith.llm.common import grouped, materialise, slices
-from velith.llm.components import components
+from velith.llm.components import components, local_roots
 
 TREES, LEAF, SPILL, BLOCK, SAMPLE_ROWS, MIN_NODE = 8, 512, 0.12, 1024, 20_000, 32
 
@@ -110,14 +110,7 @@ def compare(code: int, rep: np.ndarray, weight: np.ndarray, side: np.ndarray, co
     x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
     if not len(x):
         return None
-    root = rep.copy()
-    while True:
-        least = np.minimum(root[x], root[y])
-        before = root.copy()
-        np.minimum.at(root, x, least)
-        np.minimum.at(root, y, least)
-        if (root == before).all():
-            break
+    root = local_roots(rep, x, y)
     once = _pairs_once(x, y, codes, code)
     links = np.zeros(len(rep), np.int64)
     np.add.at(links, x[once], weight[y[once]])

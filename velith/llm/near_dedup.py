@@ -9,8 +9,8 @@ similarity 0.8 shares no band with probability (1 - 0.8^4)^32 = 5e-8.
 1. Documents with equal sets are one class, found by a combined aggregate on a 128-bit set digest.
 2. In each band bucket the classes are held against its least and its greatest member (candidates linear in the
    bucket), filtered by set sizes and by the collision-corrected estimate from registers, and confirmed on full sets.
-3. Links give components.  What is left are pairs of one bucket in different components: they are compared by registers
-   in blocks of bounded size, only those that could reach the threshold become rows and are confirmed on full sets.
+3. Links give components.  What is left are pairs of one bucket in different components: they meet in blocks of bounded
+   size, where set sizes and register estimates sort out most and full sets decide the rest; no pair leaves its block.
 
 So no group is collected or turned into all its pairs, yet every pair that shares a band and isn't connected otherwise
 is decided.  The estimate drops a pair only five standard errors below the threshold.
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velith.llm.common import grouped, materialise, slices
-from velith.llm.components import components
+from velith.llm.components import components, local_roots
 
 BUCKETS, ROWS, MANTISSA = 128, 4, 10
 BANDS = BUCKETS // ROWS
@@ -167,10 +168,9 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of doc ids whose full sets reach the threshold."""
-    pairs = materialise(pairs, "pairs")
-    ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair-ids")
+def sets_of(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, set) of the documents named in ``ids``, written as a table."""
+    ids = materialise(ids, "ids")
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
     def run(batches):
@@ -179,42 +179,93 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    sets = materialise(wanted.mapInArrow(run, "id long, set array<long>"), "sets")
+    return materialise(wanted.mapInArrow(run, "id long, set array<long>"), "sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of doc ids whose full sets reach the threshold."""
+    pairs = materialise(pairs, "pairs")
+    sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs, shingle)
     a, b = (sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     reach = 100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)
     return pairs.join(a, "a").join(b, "b").filter(reach).select("a", "b")
 
 
+def shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set: a product of 0/1 matrices, columns in chunks."""
+    own = np.concatenate([left, right])
+    row = np.repeat(np.arange(len(own)), [len(sets[k]) for k in own])
+    _, column, times = np.unique(np.concatenate([sets[k] for k in own]), return_inverse=True, return_counts=True)
+    often = times > 1
+    place = np.cumsum(often) - 1
+    keep = often[column]
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out, width = np.zeros((len(left), len(right)), np.float32), 4096
+    for start in range(0, int(often.sum()), width):
+        lo, hi = np.searchsorted(column, [start, start + width])
+        chunk = np.zeros((len(own), width), np.float32)
+        chunk[row[lo:hi], column[lo:hi] - start] = 1
+        out += chunk[: len(left)] @ chunk[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _decide(rep, comp, n, regs, sets, left, right, band: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (x of left, y of right) that reach the threshold, among pairs of different components whose first common band is this."""
+    small, large = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
+    x, y = np.nonzero((comp[left][:, None] != comp[right]) & (100 * small >= percent * large) & (rep[left][:, None] != rep[right]))
+    keep = []
+    for k in range(0, len(x), 1 << 14):
+        p, q = left[x[k : k + (1 << 14)]], right[y[k : k + (1 << 14)]]
+        same = regs[p] == regs[q]
+        first = same.reshape(len(p), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        by = np.array([chance(max(1, int(v) // BUCKETS)) for v in np.maximum(n[p], n[q])])
+        keep.append(first & ((same.mean(axis=1) - by) / (1 - by) >= _floor(percent / 100)))
+    if not keep:
+        return x, y
+    keep = np.concatenate(keep)
+    x, y = x[keep], y[keep]
+    if not len(x):
+        return x, y
+    a, b = np.unique(x), np.unique(y)
+    if len(x) * 8 < len(a) * len(b):
+        both = np.array([len(np.intersect1d(sets[left[i]], sets[right[j]], assume_unique=True)) for i, j in zip(x, y, strict=True)])
+    else:
+        both = shared(sets, left[a], right[b])[np.searchsorted(a, x), np.searchsorted(b, y)]
+    reach = 100 * both >= percent * (n[left[x]] + n[right[y]] - both)
+    return left[x[reach]], right[y[reach]]
+
+
 def _blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket in different components that could reach the threshold, compared block against block."""
-    floor, key = _floor(percent / 100), ("band", "value", "i", "j")
-
-    def compare(rows):
-        rep, comp, n, side, regs = rows
-        left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
-        step = max(1, (1 << 21) // (BUCKETS * max(1, len(right))))
-        for k in range(0, len(left), step):
-            l = left[k : k + step]  # noqa: E741
-            small, large = np.minimum(n[l][:, None], n[right]), np.maximum(n[l][:, None], n[right])
-            x, y = np.nonzero((comp[l][:, None] != comp[right]) & (100 * small >= percent * large) & (rep[l][:, None] != rep[right]))
-            if len(x):
-                good = estimate(regs[l[x]], regs[right[y]], large[x, y]) >= floor
-                p, q = rep[l[x[good]]], rep[right[y[good]]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+    """Links between different components within a bucket, as one edge per row towards the least row of its part.
+
+    Blocks of a bucket meet pairwise, each meeting is one group of at most 2 x BLOCK rows with registers and full sets; a
+    pair is looked at in the first band that it shares, and never leaves its group.
+    """
+    key = ("band", "value", "i", "j")
 
     def run(batches):
         for group in grouped(batches, 4):
             group = group.combine_chunks()
+            rep, comp, n, side = (np.asarray(group.column(k)) for k in (4, 5, 6, 7))
             regs = np.asarray(group.column(8).combine_chunks().flatten()).reshape(-1, BANDS).view("<u2")
-            yield from compare([*(np.asarray(group.column(k)) for k in (4, 5, 6, 7)), regs])
+            lists = group.column(9).combine_chunks()
+            offsets, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+            sets = [flat[a:b] for a, b in pairwise(offsets)]
+            left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
+            x, y = _decide(rep, comp, n, regs, sets, left, right, int(np.asarray(group.column(0))[0]), percent)
+            if len(x):
+                root, met = local_roots(rep, x, y), np.unique(np.concatenate([x, y]))
+                yield pa.RecordBatch.from_arrays([pa.array(rep[met]), pa.array(root[met])], names=["a", "b"])
 
     # A row of block i meets blocks 0..n-1: it goes to the tasks (i, j), left where it is the lower, right where the higher.
     dealt = members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1)
-    dealt = dealt.select("band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", "n", side.alias("side"), "bands")
-    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
+    dealt = dealt.select("band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", "n", side.alias("side"), "bands", "set")
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").filter("a != b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -235,9 +286,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     labelled = members.join(found, F.col("rep") == F.col("node"), "left").select("band", "value", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     split = labelled.groupBy("band", "value").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).filter("x != y")
     split = split.select("band", "value", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    open_ = labelled.join(split, ["band", "value"]).join(classes.select("rep", "bands"), "rep")
-    rest = _blocks(open_, percent).join(candidates, ["a", "b"], "left_anti")
-    more = materialise(confirmed(rest, docs, shingle, percent), "links")
+    left = materialise(labelled.join(split, ["band", "value"]), "undecided")
+    sets = sets_of(left.select(F.col("rep").alias("id")).distinct(), docs, shingle)
+    full = left.join(classes.select("rep", "bands"), "rep").join(sets, F.col("rep") == F.col("id"))
+    more = _blocks(full, percent)
     bridges = more.union(found.select("node", "component"))
     final = components(bridges)
 
