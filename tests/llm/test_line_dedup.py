@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import pairwise
 
 import numpy as np
 import pytest
@@ -28,6 +29,10 @@ def brute(rows, least):
                     run = tuple(x for _, x in seq[s : e + 1])
                     if first.setdefault(run, (key, s)) != (key, s):
                         gone.setdefault(key, set()).update(range(seq[s][0], seq[e][0] + 1))
+    for key, lines in gone.items():  # blank lines between two deleted ones
+        for (a, _), (b, _) in pairwise(docs[key]):
+            if a in lines and b in lines:
+                lines.update(range(a, b))
     return {key: gone.get(key, set()) for key in docs}
 
 

@@ -12,11 +12,12 @@ The corpus is one long sequence of line ids, cut at document ends.  A run of lin
   repeated stretches inside it: any line of it has enough words of the run either before or after it.  So the intervals'
   later members, merged where they touch, are the maximal runs' later copies.
 
-Everything runs within a document (one doubling needs no shuffle) or as aggregate and join on a name, which Spark
-pre-aggregates and splits when a name is hot.
+Everything runs within a document (one doubling needs no shuffle) or as aggregate and join on a name.  Names are combined
+before they are shuffled; what is joined on them is written first, so that either side of the join has a shuffle of its
+own and Spark can split a hot name.
 
-Defined cases: null text stays null and has no line; blank lines are no part of the sequence but go with the run around
-them; rows equal in doc_id and text count as one document and all get its result; rows with one doc_id but other texts
+Defined cases: null text stays null and has no line; blank lines are no part of the sequence, those between two deleted
+lines go with them; rows equal in doc_id and text count as one document and all get its result; rows with one doc_id but other texts
 are documents of their own, in the order of their text hash; null ids come first; an empty table gives an empty result.
 """
 
@@ -25,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from velith.llm.common import materialise
+
 KEY = ["_doc", "_hash"]
 
 
@@ -58,12 +61,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("t"), F.regexp_count(x, F.lit(r"\S+")).alias("words")))
     lines = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"), F.posexplode(F.filter(numbered, lambda x: x["words"] > 0)).alias("k", "l"))
     lines = lines.select(*KEY, "k", "l.line", "l.words", _name(F.col("l.t")).alias("id"))
-    twice = lines.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    twice = materialise(lines.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "repeated-lines")
     return lines.join(twice, "id", "left_semi")
 
 
 def stretches(lines: DataFrame, min_words: int) -> DataFrame:
-    """Named stretches of just enough words: key, name, k of the first line, first and last line number."""
+    """Named stretches of just enough words: key, name, k and line number of the first line (k, first) and the last (end, last)."""
     in_doc = lines.repartition(*KEY).dropDuplicates([*KEY, "k"])
     by_k = Window.partitionBy(*KEY).orderBy("k")
     in_doc = in_doc.withColumn("upto", F.sum("words").over(by_k)).withColumn("island", F.col("k") - F.row_number().over(by_k))
@@ -81,7 +84,7 @@ def stretches(lines: DataFrame, min_words: int) -> DataFrame:
         row = F.get(F.col("names"), level)
         start, end = F.get(F.col("s"), first), F.get(F.col("s"), first + size - 1)
         name = _pair(F.get(row, first), F.get(row, first + size - F.get(widths, level)), size)
-        return F.struct(name.alias("name"), start["k"].alias("k"), start["line"].alias("from"), end["line"].alias("to"))
+        return F.struct(name.alias("name"), start["k"].alias("k"), end["k"].alias("end"), start["line"].alias("from"), end["line"].alias("to"))
 
     def forward(x: Column, i: Column) -> Column:
         short = F.size(F.filter(F.slice(F.col("s"), i + 1, min_words), lambda y: y["upto"] < x["before"] + min_words))
@@ -93,17 +96,21 @@ def stretches(lines: DataFrame, min_words: int) -> DataFrame:
         return F.when(i - short >= 0, stretch(i - short, short + 1))
 
     both = F.array_distinct(F.array_compact(F.concat(F.transform("s", forward), F.transform("s", backward))))
-    return islands.select(*KEY, "s", "n", names.alias("names")).select(*KEY, F.explode(both).alias("x")).select(*KEY, "x.name", "x.k", F.col("x.from").alias("first"), F.col("x.to").alias("last"))
+    return islands.select(*KEY, "s", "n", names.alias("names")).select(*KEY, F.explode(both).alias("x")).select(*KEY, "x.name", "x.k", "x.end", F.col("x.from").alias("first"), F.col("x.to").alias("last"))
 
 
 def later_copies(found: DataFrame) -> DataFrame:
-    """Maximal line ranges to delete: key and ``runs``, an ordered array of disjoint (first, last)."""
+    """Maximal line ranges to delete: key and ``runs``, an ordered array of disjoint (first, last).
+
+    Stretches that touch but for blank lines become one range, which takes those with it.
+    """
     at = F.struct(*KEY, "k")
-    firsts = found.groupBy("name").agg(F.min(at).alias("earliest"), F.count("*").alias("n")).filter("n > 1").select("name", "earliest")
-    later = found.join(firsts, "name").filter(at > F.col("earliest")).select(*KEY, "first", "last")
-    order = Window.partitionBy(*KEY).orderBy("first", "last")
-    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.when(F.col("first") <= reach + 1, 0).otherwise(1)
+    found = materialise(found, "stretches")
+    firsts = materialise(found.groupBy("name").agg(F.min(at).alias("earliest"), F.count("*").alias("n")).filter("n > 1").select("name", "earliest"), "first-stretches")
+    later = found.join(firsts, "name").filter(at > F.col("earliest")).select(*KEY, "k", "end", "first", "last")
+    order = Window.partitionBy(*KEY).orderBy("k", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(F.col("k") <= reach + 1, 0).otherwise(1)
     runs = later.withColumn("apart", apart).withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = runs.groupBy(*KEY, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     return merged.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))

@@ -121,8 +121,9 @@ ORACLE_SQL = {
         win AS (SELECT * FROM f UNION SELECT * FROM r),
         txt AS (SELECT win.doc_id, ks, ke, string_agg(c.t, chr(10) ORDER BY c.k) AS g FROM win JOIN c ON c.doc_id = win.doc_id AND c.k BETWEEN ks AND ke GROUP BY ALL),
         fst AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, ks) AS nth FROM txt),
-        span AS (SELECT fst.doc_id, a.line AS la, b.line AS lb FROM fst JOIN c a ON a.doc_id = fst.doc_id AND a.k = ks JOIN c b ON b.doc_id = fst.doc_id AND b.k = ke WHERE nth > 1),
-        del AS (SELECT DISTINCT raw.doc_id, raw.line FROM raw JOIN span ON raw.doc_id = span.doc_id AND raw.line BETWEEN la AND lb),
+        dk AS (SELECT DISTINCT c.doc_id, c.k FROM c JOIN fst ON fst.doc_id = c.doc_id AND c.k BETWEEN ks AND ke WHERE nth > 1),
+        near AS (SELECT raw.doc_id, raw.line, max(k) OVER (PARTITION BY raw.doc_id ORDER BY raw.line ROWS UNBOUNDED PRECEDING) AS p, min(k) OVER (PARTITION BY raw.doc_id ORDER BY raw.line ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM raw LEFT JOIN c ON c.doc_id = raw.doc_id AND c.line = raw.line),
+        del AS (SELECT near.doc_id, line FROM near JOIN dk x ON x.doc_id = near.doc_id AND x.k = p JOIN dk y ON y.doc_id = near.doc_id AND y.k = q),
         own AS (SELECT raw.doc_id, count(*) AS n_lines, count(del.line) AS n_removed, string_agg(t, chr(10) ORDER BY raw.line) FILTER (WHERE del.line IS NULL) AS text FROM raw LEFT JOIN del ON raw.doc_id = del.doc_id AND raw.line = del.line GROUP BY raw.doc_id)
         SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(own.text, '') END AS text, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines,
                CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed, coalesce(n_removed > 0 AND NOT regexp_matches(coalesce(own.text, ''), '\S'), false) AS emptied
