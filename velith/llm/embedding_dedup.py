@@ -25,6 +25,8 @@ from velith.llm.common import grouped, materialise, slices
 from velith.llm.components import components, local_roots
 
 TREES, LEAF, SPILL, BLOCK, SAMPLE_ROWS, MIN_NODE = 8, 512, 0.12, 1024, 20_000, 32
+#: Leaves up to which their sizes may be sent to all executors; beyond that the join shuffles.
+BROADCAST_ROWS = 200_000
 
 
 class Tree:
@@ -153,12 +155,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, trees: int = TREES
                     codes[k] = sorted(c)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.list_(pa.int64()))], names=[*batch.schema.names, "codes"])
 
-    placed = classes.select("label", "rep", "weight", "dim", F.col("embedding").cast("array<double>").alias("v")).mapInArrow(descend, "label long, rep long, weight long, dim long, v array<double>, codes array<long>")
+    kind = classes.schema["embedding"].dataType.simpleString()
+    placed = classes.select("label", "rep", "weight", "dim", F.col("embedding").alias("v")).mapInArrow(descend, f"label long, rep long, weight long, dim long, v {kind}, codes array<long>")
     placed = materialise(placed, "placed")
     each = placed.withColumn("code", F.explode("codes"))
     key = ["label", "dim", "code"]
     counts = each.groupBy(*key).count().filter("count > 1").select(*key, F.ceil(F.col("count") / block).alias("blocks"))
-    dealt = each.join(counts, key).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    counts = materialise(counts, "leaf-sizes")  # one row a leaf; sent along only if that is checked to be few
+    few = counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    dealt = each.join(F.broadcast(counts) if few else counts, key).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1)
     dealt = dealt.select(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "weight", side.alias("side"), "codes", "v")
@@ -172,7 +177,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, trees: int = TREES
             codes = np.full((len(rep), int(np.diff(offsets).max())), np.iinfo(np.int64).max)
             for k in range(len(rep)):
                 codes[k, : offsets[k + 1] - offsets[k]] = flat[offsets[k] : offsets[k + 1]]
-            x = np.asarray(group.column(9).combine_chunks().flatten()).reshape(len(rep), -1)
+            x = np.asarray(group.column(9).combine_chunks().flatten()).astype(np.float64).reshape(len(rep), -1)
             if (out := compare(int(np.asarray(group.column(2))[0]), rep, weight, sides, codes, x, cosine)) is not None:
                 yield out
 
