@@ -6,7 +6,8 @@ languages votes (ties: the larger sum of margins, then the name).  Features are
 become probabilities by a logistic fit, and the score is P(family) times the mean pairwise probability of the language.
 
 Learned from text and non-null lang of training documents only (crc32 of the id modulo 5 is not 0), at most ``sample``
-rows by hash of the id, dealt evenly to languages; prediction reads whole texts and nothing else.
+rows by hash of the id, dealt evenly to the ``languages`` most frequent languages; prediction reads whole texts and
+nothing else.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; with one language learned it is always
 predicted; with none every prediction is ``und``; a lang value without known family is a family of its own.
@@ -20,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velith.llm.common import by_bytes, held_out, slices
@@ -87,18 +88,18 @@ class Machine:
 
 def svm(x: np.ndarray, y: np.ndarray, cost: float = 50.0, steps: int = 150) -> Machine:
     """Squared hinge with quadratic penalty, by accelerated gradient steps; y is True or False, classes weigh the same."""
-    sign = np.where(y, 1.0, -1.0)
-    weight = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum()))
-    ones = np.c_[x, np.ones(len(x), x.dtype)]
-    w = z = np.zeros(ones.shape[1])
+    sign = np.where(y, 1.0, -1.0).astype(np.float32)
+    weight = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum())).astype(np.float32)
+    ones = np.c_[x, np.ones(len(x), np.float32)].astype(np.float32)
+    w = z = np.zeros(ones.shape[1], np.float32)
     rate, t = 1 / (1 + 2 * cost * 2), 1.0
     for _ in range(steps):
         slack = np.maximum(0, 1 - sign * (ones @ z))
         grad = z - 2 * cost * (ones.T @ (weight * sign * slack))
         new = z - rate * grad
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        z, w, t = new + (t - 1) / t_new * (new - w), new, t_new
-    out = Machine(w)
+        z, w, t = (new + np.float32((t - 1) / t_new) * (new - w)).astype(np.float32), new.astype(np.float32), t_new
+    out = Machine(w.astype(np.float64))
     out.slope, out.offset = platt(out.margin(x), y.astype(float))
     return out
 
@@ -146,7 +147,10 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
     families = sorted({family_of(a) for a in langs})
     model = Model(families, {f: sorted({a for a in langs if family_of(a) == f}) for f in families})
     kin = np.array([family_of(a) for a in langs], object)
-    if len(families) > 1:
+    if len(families) == 2:  # the second machine would be the first one's mirror image
+        one = svm(x, kin == families[0])
+        model.rest = [one, Machine(-one.weights, one.slope, -one.offset)]
+    elif len(families) > 2:
         model.rest = [svm(x, kin == f) for f in families]
     for family in families:
         for a, b in combinations(model.languages[family], 2):
@@ -155,11 +159,30 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
     return model
 
 
-def train(docs: DataFrame, sample: int = 4000) -> Model:
+def _chosen(docs: DataFrame, sample: int, languages: int) -> DataFrame:
+    """(id, lang) of the training rows: per language the share of the range of hashes that holds its part of the sample.
+
+    Languages are counted with a combined aggregate and no row is shuffled, however unevenly they are spread.
+    """
+    spark, parts = docs.sparkSession, 1 << 30
     known = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang")).filter(~held_out("id") & F.col("lang").isNotNull())
-    n = known.groupBy("lang").count().count()  # of languages
-    each = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("k", F.row_number().over(each)).filter(F.col("k") <= max(2, sample // max(1, n))).select("id", "lang").limit(2 * sample)
+    counts = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(languages).collect()
+    each = max(2, sample // max(1, len(counts)))
+    below = spark.createDataFrame([(r["lang"], min(parts, int(1.3 * each / r["count"] * parts) + 1)) for r in counts], "lang string, below long")
+    hashed = known.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    rows = hashed.join(F.broadcast(below), "lang").filter("h < below").select("lang", "h", "id").collect()
+    met: dict[str, int] = {}
+    picked = []
+    for lang, _, i in sorted({tuple(r) for r in rows}):
+        met[lang] = met.get(lang, 0) + 1
+        if met[lang] <= each:
+            picked.append((i, lang))
+    return spark.createDataFrame(picked, "id long, lang string")
+
+
+def train(docs: DataFrame, sample: int = 4000, languages: int = 256) -> Model:
+    """Fit on at most ``sample`` rows (two a language at least) of the ``languages`` most frequent languages."""
+    chosen = _chosen(docs, sample, languages)
 
     def run(batches):
         for batch in slices(batches, 128):
