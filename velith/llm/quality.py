@@ -7,8 +7,9 @@ their label.  With class prior pi the non-negative risk
 
 is minimised for a linear scorer over whole-text features (logistic loss, Adam; where the second part turns negative
 its gradient is reversed, as the method asks).  pi is estimated from the training labels as the share of positives among
-labelled documents, with one of each added.  Scores are then calibrated on labelled training documents: a rising
-step function of the margin, with a tenth of a logistic fit so that ranks stay.
+labelled documents, with one of each added.  Scores are then calibrated on labelled training documents, by margins from
+scorers that haven't seen them (five folds): a rising step function of the margin, with a tenth of a logistic fit so that
+ranks stay.
 
 Training reads at most ``sample`` positives and ``sample`` unlabelled and ``sample`` calibration documents, by hash of
 the id: the sample bound is the parameter, everything else sees every document.
@@ -23,6 +24,7 @@ every score is the prior; labels other than 0 and 1, null labels and null ids ar
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from itertools import pairwise
 
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 from velith.llm.common import held_out, slices
 
 WIDTH = 256 + 10
+FOLDS = 5
 
 
 def features(texts: list[str | None]) -> np.ndarray:
@@ -97,11 +100,8 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.array(at), np.array(value)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, known: np.ndarray, quality: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """nnPU risk minimisation, then calibration on ``known`` rows of either label."""
-    if not len(positive) or not len(unlabelled):
-        logit = float(np.log(prior / (1 - prior)))
-        return Model(np.zeros(WIDTH + 1), np.zeros(WIDTH), np.ones(WIDTH), 0.0, logit, prior)
+def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int, rate: float, decay: float) -> Model:
+    """The linear scorer of least non-negative risk, uncalibrated."""
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(axis=0), np.maximum(both.std(axis=0), 1e-3)
     p, u = ((np.c_[(x - mean) / scale, np.ones(len(x))]) for x in (positive, unlabelled))
@@ -115,9 +115,29 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, known: np.ndarray, quality
         grad = grad + decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    model = Model(w, mean, scale, 1.0, 0.0, prior)
+    return Model(w, mean, scale, 1.0, 0.0, prior)
+
+
+Rows = tuple[np.ndarray, np.ndarray]  # features, and the fold of each row
+
+
+def fit(positive: Rows, unlabelled: Rows, known: Rows, quality: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-2) -> Model:
+    """nnPU risk minimisation, then calibration on ``known`` rows of either label.
+
+    A known row's margin for calibration comes from a scorer that has not seen the rows of its fold, so that few training
+    rows, which a scorer fits too well, don't move the scores of new ones.
+    """
+    (p, p_fold), (u, u_fold), (k, k_fold) = positive, unlabelled, known
+    if not len(p) or not len(u):
+        logit = float(np.log(prior / (1 - prior)))
+        return Model(np.zeros(WIDTH + 1), np.zeros(WIDTH), np.ones(WIDTH), 0.0, logit, prior)
+    model = minimise(p, u, prior, steps, rate, decay)
     if len(np.unique(quality)) == 2:
-        margin = model.margin(known)
+        margin = model.margin(k)
+        for fold in np.unique(k_fold):
+            own_p, own_u = p[p_fold != fold], u[u_fold != fold]
+            if len(own_p) and len(own_u):
+                margin[k_fold == fold] = minimise(own_p, own_u, prior, steps, rate, decay).margin(k[k_fold == fold])
         model.slope, model.offset = platt(margin, quality)
         model.knots = isotonic(margin, quality.astype(float))
     return model
@@ -165,7 +185,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Model:
     spark = docs.sparkSession
     ids = spark.createDataFrame([(i,) for i in sorted(positive | unlabelled | known.keys())], "id long")
     x = _rows(docs, ids)
-    pick = lambda which: np.array([x[i] for i in sorted(which) if i in x]).reshape(-1, WIDTH)
+
+    def pick(which) -> Rows:
+        own = [i for i in sorted(which) if i in x]
+        return np.array([x[i] for i in own]).reshape(-1, WIDTH), np.array([zlib.crc32(f"fold {i}".encode()) % FOLDS for i in own], np.int64)
+
     y = np.array([known[i] for i in sorted(known) if i in x])
     return fit(pick(positive), pick(unlabelled), pick(known), y, prior)
 
