@@ -96,7 +96,7 @@ def test_estimate_is_close():
     for share in (0.3, 0.6, 0.8, 0.95):
         errors = []
         for _ in range(40):
-            both = rng.integers(0, 2**63, 3000).astype(np.uint64)
+            both = rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2)
             n = int(len(both) * share)
             rest = len(both) - n
             x, y = np.unique(both[: n + rest // 2]), np.unique(np.concatenate([both[:n], both[n + rest // 2 :]]))

@@ -61,10 +61,11 @@ def test_base_findings_and_digests(documents, rows):
         assert r["n_cnn"] == len(spans) - len(own)
 
 
-def test_network_finds_other_makers_keys_and_leaves_words_alone(documents, rows):
-    docs = documents(rows)
-    net = ss.train(docs)
-    keys = [t for k, t in rows[:150] if k % 9 == 6]
+def test_network_finds_other_makers_keys_and_leaves_words_alone(spark):
+    net = ss.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rng = np.random.default_rng(3)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    keys = [f"the deploy of monday used {lead}{''.join(rng.choice(letters, 36))} and went well" for lead in ("ghp_", "", "sk_live_", "key ") for _ in range(25)]
     found, _ = ss.spans_of(keys, net)
     assert np.mean([any(k == 3 for _, k, _ in f) for f in found]) >= 0.85
     clean = ["see /usr/local/lib/python3/site-packages/x1 and 2024-01-01-release-candidate-12", "order 1234567890123456789 was paid"]

@@ -7,7 +7,8 @@ filters of width 5, keeps each filter's maximum and weighs the maxima.  It is tr
 
 * positive: findings of the base rules in training documents, the same secrets moved into other documents' plain
   contexts, and made-up keys of other makers' shapes in such contexts;
-* negative: matches that the rules drop, other long tokens, and made-up numbers, addresses, paths, dates and words.
+* negative: matches that the rules drop, other long tokens (but those that mix upper case, lower case and digits: they may
+  be what the scan is to find), and made-up numbers, addresses, paths, dates and words.
 
 A logistic fit turns outputs into probabilities.  The threshold is the highest that still finds ``recall`` of the
 positives held back from training.  Candidates above it that overlap no base finding are added as kind ``cnn``; findings
@@ -39,6 +40,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 DIGIT = re.compile(r"[0-9]")
+DOUBTFUL = re.compile(r"(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])")
 AROUND, INNER = 24, 48
 WIDTH = 2 * AROUND + INNER
 ALPHABET = "\0 \nabcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-.:;,\"'@#$%&*!?()[]{}<>|\\~^`"
@@ -150,7 +152,7 @@ def fit(x: np.ndarray, y: np.ndarray, recall: float, seed: int = 11, epochs: int
     net.slope, net.offset = platt(z, y[hold].astype(float))
     p = net.probability(x[hold])
     good = np.sort(p[y[hold] == 1])
-    net.threshold = float(max(0.5, good[int((1 - recall) * len(good))])) if len(good) else 0.5
+    net.threshold = float(good[int((1 - recall) * len(good))]) if len(good) else 0.5
     return net
 
 
@@ -183,7 +185,7 @@ def train(docs: DataFrame, sample: int = 2000, recall: float = 0.98, made_up: in
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 base, dropped = base_spans(text)
-                other = other_candidates(text, base)
+                other = [x for x in other_candidates(text, base) if not DOUBTFUL.match(text, x[0], x[2])]
                 rows = [(1, window(text, s, e), text[s:e][:INNER]) for s, _, e in base[:4]] + [(0, window(text, s, e), "") for s, _, e in (dropped + other)[:4]]
                 rows.append((2, text[:400], ""))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))], names=["y", "w", "token"])
