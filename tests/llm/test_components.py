@@ -4,11 +4,13 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import groups
+from velith.llm import components as cc
 from velith.llm.components import components, local_roots
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_random_graphs(spark, seed):
+@pytest.mark.parametrize(("seed", "most"), [(0, 10**6), (1, 10**6), (2, 10**6), (0, 0), (1, 20)])
+def test_random_graphs(spark, seed, most, monkeypatch):
+    monkeypatch.setattr(cc, "BROADCAST_LINKS", most)
     rng = np.random.default_rng(seed)
     links = [tuple(map(int, x)) for x in rng.integers(0, 60, (40, 2))] + [(100 + k, 101 + k) for k in range(30)] + [(200, 201 + k) for k in range(30)]
     found = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))

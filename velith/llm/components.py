@@ -1,7 +1,8 @@
 """Connected components over a table of links, by alternating large-star and small-star steps.
 
-Each step is an aggregate (one minimum per node, combined before the shuffle) and a join on the node, so a node with
-very many neighbours is a skewed join that Spark splits, never a collected group.  Every round is written as a table.
+Each step is an aggregate (one minimum per node, combined before the shuffle) and a join on the node.  Minima of few
+enough links are sent to all executors; those of more are written first, so that the join has a shuffle of its own on
+either side and Spark splits a node with very many neighbours.  No group is collected; every round is written as a table.
 """
 
 from __future__ import annotations
@@ -13,14 +14,22 @@ from pyspark.sql import functions as F
 from velith.llm.common import materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Links up to which the minima of their nodes (at most twice as many rows of two numbers) are broadcast.
+BROADCAST_LINKS = 250_000
+
+
+def _shared(least: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(least) if few else materialise(least, "least")
+
+
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    least = _shared(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), few)
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
+    least = _shared(edges.groupBy("u").agg(F.min("v").alias("m")), few)
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -38,7 +47,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now["n"] == 0 or now == before:
             break
         before = now
-        edges = materialise(_small_star(_large_star(edges)), "edges")
+        few = now["n"] <= BROADCAST_LINKS
+        edges = materialise(_small_star(_large_star(edges, few), few), "edges")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
