@@ -99,7 +99,7 @@ SQL = {
     "op_context_recall": "SELECT l_orderkey AS question_id, CASE WHEN t > 0 THEN round(least(1, f / t), 4) END AS context_recall FROM (SELECT l_orderkey, count(*) FILTER (WHERE l_linestatus = 'F') AS f, count(*) FILTER (WHERE l_returnflag <> 'N') AS t FROM lineitem GROUP BY l_orderkey)",
     "op_answer_relevancy": "SELECT a.vec_id, round(greatest(0, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))), 4) AS answer_relevancy FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) a JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) b ON b.vec_id = a.vec_id + 1",
     "op_eval_grid": GRID,
-    "op_format_table": f"SELECT strategy, mode, '| ' || strategy || ' | ' || mode || ' | ' || printf('%.3f', retrieval_hit_rate) || ' | ' || printf('%.3f', refusal_accuracy) || ' | ' || printf('%.3f', avg_confidence) || ' | ' || format('{{:,}}', avg_latency_ms) || ' ms |' AS row FROM ({GRID})",
+    "op_format_table": f"SELECT strategy, mode, '| ' || strategy || ' | ' || mode || ' | ' || CAST(CAST(round(CAST(retrieval_hit_rate AS DECIMAL(18, 4)), 3) AS DECIMAL(18, 3)) AS VARCHAR) || ' | ' || CAST(CAST(round(CAST(refusal_accuracy AS DECIMAL(18, 4)), 3) AS DECIMAL(18, 3)) AS VARCHAR) || ' | ' || CAST(CAST(round(CAST(avg_confidence AS DECIMAL(18, 4)), 3) AS DECIMAL(18, 3)) AS VARCHAR) || ' | ' || format('{{:,}}', avg_latency_ms) || ' ms |' AS row FROM ({GRID})",
     "op_ab_encoders": """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL), a AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 2), p AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) <= 3),
         s AS (SELECT e AS encoder, a.vec_id AS query_id, p.vec_id, round(list_dot_product(a.v[1:n], p.v[1:n]) / (sqrt(list_dot_product(a.v[1:n], a.v[1:n])) * sqrt(list_dot_product(p.v[1:n], p.v[1:n]))), 6) AS score FROM a JOIN p USING (label), (VALUES ('whole', 64), ('half', 32)) x(e, n))
         SELECT encoder, query_id, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY encoder, query_id ORDER BY score DESC, vec_id) = 1""",

@@ -98,13 +98,18 @@ def op_document_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_totals(i.pages(spark, sf_dir).withColumn("table_count", F.col("page_number") % 2))
 
 
-def op_adjacent_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(label, vec_id, d): distance of each vector to the one before it with its label."""
     rows = i.table(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("ix"), F.col("embedding").alias("text"))
-    return chunking.with_distances(rows, lambda v: v).select(F.col("doc_id").alias("label"), F.col("ix").alias("vec_id"), F.round("d", 6).alias("distance"))
+    return chunking.with_distances(rows, lambda v: v).select(F.col("doc_id").alias("label"), F.col("ix").alias("vec_id"), "d")
+
+
+def op_adjacent_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distances(spark, sf_dir).select("label", "vec_id", F.round("d", 6).alias("distance"))
 
 
 def op_breakpoint_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op_adjacent_distance(spark, sf_dir).groupBy("label").agg(F.round(F.percentile("distance", lx.SEMANTIC_PERCENTILE), 6).alias("threshold"))
+    return distances(spark, sf_dir).groupBy("label").agg(F.round(F.percentile("d", lx.SEMANTIC_PERCENTILE), 6).alias("threshold"))
 
 
 CHUNK_ID = "doc_id || '_' || strategy || '_' || printf('%05d', chunk_index) || '_' || left(sha1(doc_id || '|' || strategy || '|' || chunk_index || '|' || text), 16) AS chunk_id"
@@ -174,5 +179,5 @@ SQL = {
     "op_content_hash": "SELECT page_id, sha256(html) AS content_hash FROM pages",
     "op_document_totals": f"SELECT doc_id, count(*) AS page_count, CAST(sum(length(text)) AS BIGINT) AS char_count, CAST(sum(page_number % 2) AS BIGINT) AS table_count FROM ({CLEAN}) GROUP BY doc_id",
     "op_adjacent_distance": f"SELECT label, vec_id, round(d, 6) AS distance FROM ({DISTANCES})",
-    "op_breakpoint_percentile": f"SELECT label, round(quantile_cont(round(d, 6), 0.85), 6) AS threshold FROM ({DISTANCES}) GROUP BY label",
+    "op_breakpoint_percentile": f"SELECT label, round(quantile_cont(d, 0.85), 6) AS threshold FROM ({DISTANCES}) GROUP BY label",
 }
