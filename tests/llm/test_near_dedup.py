@@ -114,4 +114,5 @@ def test_block_products_equal_set_operations():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 50, 30)) for _ in range(9)]
     left, right = np.arange(4), np.arange(2, 9)
-    assert nd.shared(sets, left, right).tolist() == [[len(np.intersect1d(sets[a], sets[b])) for b in right] for a in left]
+    for most in (1 << 21, 50, 7):
+        assert nd.shared(sets, left, right, most).tolist() == [[len(np.intersect1d(sets[a], sets[b])) for b in right] for a in left]

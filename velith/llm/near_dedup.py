@@ -192,23 +192,36 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return pairs.join(a, "a").join(b, "b").filter(reach).select("a", "b")
 
 
-def shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of every left with every right set: a product of 0/1 matrices, columns in chunks."""
+def shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set.
+
+    Sets of more than ``most`` hashes together are taken in parts by the hashes' low bits, so memory doesn't follow the
+    length of the texts.
+    """
     own = np.concatenate([left, right])
-    row = np.repeat(np.arange(len(own)), [len(sets[k]) for k in own])
-    _, column, times = np.unique(np.concatenate([sets[k] for k in own]), return_inverse=True, return_counts=True)
+    parts = 1 << max(0, (sum(len(sets[k]) for k in own) // most).bit_length())
+    out = np.zeros((len(left), len(right)), np.int64)
+    for part in range(parts):
+        out += _products([sets[k] if parts == 1 else sets[k][(sets[k] & (parts - 1)) == part] for k in own], len(left))
+    return out
+
+
+def _products(own: list[np.ndarray], n_left: int) -> np.ndarray:
+    """The same for sets of bounded size, left ones first: a product of 0/1 matrices, columns in chunks."""
+    row = np.repeat(np.arange(len(own)), [len(s) for s in own])
+    _, column, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
     often = times > 1
     place = np.cumsum(often) - 1
     keep = often[column]
     row, column = row[keep], place[column[keep]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    out, width = np.zeros((len(left), len(right)), np.float32), 4096
+    out, width = np.zeros((n_left, len(own) - n_left), np.float32), 4096
     for start in range(0, int(often.sum()), width):
         lo, hi = np.searchsorted(column, [start, start + width])
         chunk = np.zeros((len(own), width), np.float32)
         chunk[row[lo:hi], column[lo:hi] - start] = 1
-        out += chunk[: len(left)] @ chunk[len(left) :].T
+        out += chunk[:n_left] @ chunk[n_left:].T
     return out.astype(np.int64)
 
 
