@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,12 +59,18 @@ class Index:
     mean_length: float
     weights: DataFrame
     stored: DataFrame | None = None
+    counts: DataFrame | None = None
 
     def postings(self, only: DataFrame | None = None) -> DataFrame:
         if self.stored is None:
             return postings(self.docs, self.id_col, self.text_col, only)
         return self.stored if only is None else self.stored.join(only.select("term"), "term", "left_semi")
 
+    def release(self) -> None:
+        """Drop the kept term counts."""
+        if self.counts is not None:
+            self.counts.unpersist()
+
     def write(self, path: str) -> None:
         """Postings, weights and statistics as Parquet; a search then reads only what it needs of them."""
         self.postings().write.mode("overwrite").parquet(f"{path}/postings")
@@ -85,11 +92,12 @@ def weigh(frequencies: DataFrame, n: int) -> DataFrame:
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """Statistics over all texts."""
+    """Statistics over all texts; term weights are kept (in memory or on disk, made again if lost) until :meth:`Index.release`."""
     stats = doc_lengths(docs, id_col, text_col).agg(F.count("*").alias("n"), F.avg("dl").alias("m")).first()
     if not stats["n"]:
         raise ValueError("there is no text to index")
-    return Index(docs, id_col, text_col, stats["n"], stats["m"] or 0.0, weigh(term_frequencies(docs, id_col, text_col), stats["n"]))
+    counts = term_frequencies(docs, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK)
+    return Index(docs, id_col, text_col, stats["n"], stats["m"] or 0.0, weigh(counts, stats["n"]), counts=counts)
 
 
 def search(index: Index, questions: DataFrame, limit: int, keys: list[str], text_col: str = "text") -> DataFrame:

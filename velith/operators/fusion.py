@@ -63,3 +63,11 @@ def with_confidence(questions: DataFrame, results: DataFrame, key: str, mode: st
     found = results.groupBy(key).agg(F.count("*").alias("results"), F.max("dense_score").alias("dense"), F.max("sparse_score").alias("sparse"), F.count_if(both).alias("both"))
     joined = questions.select(key).join(found, key, "left").withColumn("results", F.coalesce("results", F.lit(0).cast("long")))
     return joined.select(key, "results", confidence(F.lit(mode), "dense", "sparse", "both", "results").alias("confidence"))
+
+
+def sure(results: DataFrame, key: str, mode: str) -> DataFrame:
+    """Results with ``results`` and ``confidence`` of their question, in one pass over them; questions without results have no row."""
+    own = Window.partitionBy(key)
+    both = F.col("dense_rank").isNotNull() & F.col("sparse_rank").isNotNull()
+    counted = results.select("*", F.count("*").over(own).alias("results"), F.max("dense_score").over(own).alias("_dense"), F.max("sparse_score").over(own).alias("_sparse"), F.count_if(both).over(own).alias("_both"))
+    return counted.withColumn("confidence", confidence(F.lit(mode), "_dense", "_sparse", "_both", "results")).drop("_dense", "_sparse", "_both")

@@ -14,9 +14,8 @@ from velith.plans.catalog import retrieval as r
 def hybrid_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per item and rank: the document, its label, score and citation, the item's confidence and whether it is refused."""
     results = fusion.merge_results(r.dense_list(spark, sf_dir), r.sparse_list(spark, sf_dir), "item_id")
-    sure = fusion.with_confidence(r.questions(spark, sf_dir), results, "item_id", "hybrid")
     titles = i.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
-    joined = results.join(titles, "id", "left").join(sure, "item_id")
+    joined = fusion.sure(results, "item_id", "hybrid").join(titles, "id", "left")
     one = F.lit(1)
     return joined.select("item_id", "rank", F.col("id").alias("doc_id"), "retriever", "score", citation("source", F.col("id").cast("string"), "lang", one, one).alias("citation"), "confidence", refused("confidence", "results").alias("refused"))
 
