@@ -53,7 +53,7 @@ def section_forms(text: Column | str) -> Column:
 
 def without_frame(text: Column | str) -> Column:
     """Without question word and the auxiliaries after it, blanks and question marks at the ends."""
-    frame = rf"(?iu)^(?:{lx.QUESTION_WORDS}){lx.WS}+(?:(?:{lx.FRAME_WORDS}){lx.WS}+)*"
+    frame = rf"(?iu)^(?:{lx.QUESTION_WORDS}){lx.SPACE}+(?:(?:{lx.FRAME_WORDS}){lx.SPACE}+)*"
     return F.regexp_replace(F.regexp_replace(strip(text), frame, ""), r"^[ ?]+|[ ?]+\z", "")
 
 
@@ -72,7 +72,7 @@ def expansions(text: Column | str, variants: int = lx.VARIANTS) -> Column:
 def extract_citations(answer: Column | str, sources: Column | str | int) -> Column:
     """Sorted distinct source numbers that brackets start with and that exist."""
     most = F.lit(sources) if isinstance(sources, int) else col(sources)
-    groups = F.transform(F.regexp_extract_all(col(answer), F.lit(lx.BRACKET), F.lit(1)), lambda g: F.regexp_extract(g, lx.LEADING_NUMBERS, 1))
+    groups = F.transform(F.regexp_extract_all(col(answer), F.lit(lx.BRACKET), F.lit(1)), lambda g: F.regexp_extract(g, lx.LEADING_NUMBERS.replace(lx.WS, lx.SPACE), 1))
     numbers = F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, ","))), lambda n: strip(n).try_cast("int"))
     return F.array_sort(F.array_distinct(F.filter(numbers, lambda n: n.isNotNull() & (n >= 1) & (n <= most))))
 
@@ -89,7 +89,7 @@ def strip_citations(answer: Column | str) -> Column:
 
 def claims(answer: Column | str, least: int = 15) -> Column:
     """Sentences of an answer of more than ``least`` characters, citations taken out."""
-    parts = F.transform(F.split(strip_citations(answer), rf"(?<=[.!?]){lx.WS}+"), strip)
+    parts = F.transform(F.split(strip_citations(answer), rf"(?<=[.!?]){lx.SPACE}+"), strip)
     return F.filter(parts, lambda x: F.length(x) > least)
 
 

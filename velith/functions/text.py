@@ -16,23 +16,19 @@ def col(x: Column | str) -> Column:
 
 def strip(x: Column | str) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(col(x), rf"^{lx.WS}+|{lx.WS}+\z", "")
-
-
-def rstrip(x: Column | str) -> Column:
-    return F.regexp_replace(col(x), rf"{lx.WS}+\z", "")
+    return F.regexp_replace(col(x), rf"^{lx.SPACE}++|(?<!{lx.SPACE}){lx.SPACE}++\z", "")
 
 
 def lines(text: Column | str) -> Column:
     """Lines of a text, at any line end."""
-    return F.split(col(text), lx.LINE_END)
+    return F.split(col(text), lx.ANY_LINE_END)
 
 
 def is_noise(line: Column | str) -> Column:
     """Page furniture: page numbers, publisher and site lines."""
     found = F.lit(False)
     for pattern in lx.NOISE_PATTERNS:
-        found = found | col(line).rlike(pattern)
+        found = found | col(line).rlike(pattern.replace(lx.WS, lx.SPACE))
     return found
 
 
@@ -40,23 +36,48 @@ def detect_section(line: Column | str) -> Column:
     """The normalised heading that a line is, else null; lines of more than 120 characters are none."""
     own = strip(line)
     found = []
-    for pattern in lx.SECTION_PATTERNS:
-        label = strip(F.regexp_replace(F.regexp_extract(own, pattern, 1), rf"{lx.WS}+", " "))
-        words = strip(F.regexp_extract(own, pattern, 2)) if re.compile(pattern.replace(lx.WS, " ")).groups > 1 else F.lit("")
+    for pattern in (p.replace(lx.WS, lx.SPACE) for p in lx.SECTION_PATTERNS):
+        label = strip(F.regexp_replace(F.regexp_extract(own, pattern, 1), rf"{lx.SPACE}+", " "))
+        words = strip(F.regexp_extract(own, pattern, 2)) if re.compile(pattern.replace(lx.SPACE, " ")).groups > 1 else F.lit("")
         found.append(F.when(own.rlike(pattern), F.when(words == "", label).otherwise(F.concat(label, F.lit(" "), words))))
-    return F.when((own != "") & (F.length(own) <= lx.MAX_HEADING), F.coalesce(*found))
+    return F.when(own.rlike(lx.HEADING_START) & (F.length(own) <= lx.MAX_HEADING), F.coalesce(*found))
+
+
+def _furniture() -> str:
+    """One pattern for whole noise lines with their line end, in a text whose lines end in \\n."""
+    bodies = [p.replace("(?i)", "").removeprefix(f"^{lx.WS}*").removesuffix("$").replace(lx.WS, lx.LINE_SPACE) for p in lx.NOISE_PATTERNS]
+    return rf"(?imd)^{lx.LINE_SPACE}*+(?:{'|'.join(bodies)})$\n?"
+
+
+def _headings() -> str:
+    """One pattern for a whole line that some heading pattern fits, not longer than a heading may be."""
+    bodies = []
+    for pattern in lx.SECTION_PATTERNS:
+        body = pattern.replace("(?i)", "").removeprefix(f"^{lx.WS}*").removesuffix("$").replace(lx.WS, lx.LINE_SPACE)
+        body = re.sub(r"\((?!\?)", "(?:", body)
+        bodies.append(f"(?i:{body})" if pattern.startswith("(?i)") else body)
+    return rf"(?md)^{lx.LINE_SPACE}*+(?=.{{1,{lx.MAX_HEADING}}}?{lx.LINE_SPACE}*$)(?:{'|'.join(bodies)})$"
+
+
+def without_noise(raw: Column | str) -> Column:
+    """The text without page furniture, its lines ended by \\n: two patterns over the whole text, no list of lines."""
+    return F.regexp_replace(F.regexp_replace(col(raw), lx.ANY_LINE_END, "\n"), _furniture(), "")
+
+
+def first_line(text: Column | str) -> Column:
+    """What stands before a text's first line end."""
+    return F.get(F.split(col(text), lx.ANY_LINE_END, 2), F.lit(0))
 
 
 def clean_text(raw: Column | str) -> Column:
     """Without page furniture and trailing blanks; runs of blank lines and of blanks shortened."""
-    kept = F.array_join(F.transform(F.filter(lines(raw), lambda x: ~is_noise(x)), rstrip), "\n")
-    return strip(F.regexp_replace(F.regexp_replace(kept, r"\n{3,}", "\n\n"), r"[ \t]{2,}", " "))
+    bare = F.regexp_replace(without_noise(raw), rf"(?md)(?<!{lx.LINE_SPACE}){lx.LINE_SPACE}++$", "")
+    return strip(F.regexp_replace(F.regexp_replace(bare, r"\n{3,}", "\n\n"), r"[ \t]{2,}", " "))
 
 
 def first_section(raw: Column | str) -> Column:
     """First heading among the lines that aren't furniture, else null."""
-    heads = F.filter(F.transform(F.filter(lines(raw), lambda x: ~is_noise(x)), detect_section), lambda x: x.isNotNull())
-    return F.get(heads, F.lit(0))
+    return detect_section(F.regexp_extract(without_noise(raw), _headings(), 0))
 
 
 def table_to_markdown(rows: Column | str) -> Column:
@@ -79,25 +100,35 @@ def split_sentences(text: Column | str) -> Column:
 
     A cut falls on white space between a mark and a capital, section sign or bracket.  After an abbreviation's full stop
     the white space becomes one blank instead; since pieces end where the text before a cut ends, looking back from the
-    cut is all that gluing them again would do, and no fold over pieces is needed.
+    cut is all that gluing them again would do, and no fold over pieces is needed.  Each look-behind for abbreviations stands
+    behind one for a single character, which rules out nearly every place at once.
     """
     short = "|".join(re.escape(a) for a in sorted(lx.ABBREVIATIONS))
-    cut = rf"(?<=[{lx.SENTENCE_MARKS}]){lx.WS}+(?=[{lx.SENTENCE_STARTS}])"
-    glued = F.regexp_replace(col(text), rf"(?<=(?:{short})\.){lx.WS}+(?=[{lx.SENTENCE_STARTS}])", " ")
-    return F.filter(F.transform(F.split(glued, rf"(?<!(?:{short})\.){cut}"), strip), lambda x: x != "")
+    cut = rf"{lx.SPACE}+(?=[{lx.SENTENCE_STARTS}])"
+    glued = F.regexp_replace(strip(text), rf"(?<=\.)(?<=(?:{short})\.){cut}", " ")
+    return F.filter(F.split(glued, rf"(?<=[{lx.SENTENCE_MARKS}])(?<!(?:{short})\.){cut}"), lambda x: x != "")
 
 
 def words(text: Column | str) -> Column:
     """Tokens at white space."""
-    return F.filter(F.split(col(text), rf"{lx.WS}+"), lambda x: x != "")
+    return F.filter(F.split(col(text), rf"{lx.SPACE}+"), lambda x: x != "")
 
 
 def count_tokens(text: Column | str) -> Column:
     """Number of tokens at white space; 0 for null and blank texts."""
-    return F.coalesce(F.regexp_count(col(text), F.lit(rf"{lx.NOT_WS}+")), F.lit(0))
+    return F.coalesce(F.regexp_count(col(text), F.lit(rf"{lx.NOT_SPACE}+")), F.lit(0))
+
+
+def is_term(t: Column) -> Column:
+    """Whether a lower-cased word is searched for: no stopword, no single character but the section sign."""
+    return ~t.isin(lx.STOPWORDS) & ((F.length(t) > 1) | (t == "§"))
+
+
+def term_words(text: Column | str) -> Column:
+    """The words that :func:`terms` lower-cases and sifts."""
+    return F.regexp_extract_all(col(text), F.lit(lx.TERM), F.lit(0))
 
 
 def terms(text: Column | str) -> Column:
     """Search terms: lower-cased, without stopwords and single characters other than the section sign."""
-    found = F.transform(F.regexp_extract_all(col(text), F.lit(lx.TERM), F.lit(0)), F.lower)
-    return F.filter(found, lambda t: ~t.isin(lx.STOPWORDS) & ((F.length(t) > 1) | (t == "§")))
+    return F.filter(F.transform(term_words(text), F.lower), is_term)

@@ -1,10 +1,13 @@
-"""BM25: an index of three tables, and search for whole tables of questions at once.
+"""BM25: an index of two tables, and search for whole tables of questions at once.
+
+The corpus is tokenised once, into a written table of postings; document counts of terms, the number of texts and their mean
+length come from its columns, each read alone.  A search joins the postings with the questions' terms before anything else.
 
 Okapi weights with k1 1.5, b 0.75; a term in more than half of the texts would weigh less than nothing and gets a quarter
 of the mean weight instead.  All arithmetic is in double; scores are rounded to six decimals, so equal texts tie
 whatever the order in which their terms are added up.
 
-Defined cases: null texts have no terms and length 0 but count as texts; a question without known terms finds nothing; an
+Defined cases: ids name one text each; null texts have no terms and length 0 but count as texts; a question without known terms finds nothing; an
 empty corpus raises ValueError; columns other than id and text are not looked at.
 """
 
@@ -12,13 +15,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from velith.functions import lexicon as lx
-from velith.functions.text import terms
+from velith.functions.text import is_term, term_words, terms
 from velith.operators.sizes import bounded
+from velith.sources.scratch import materialise
 
 
 def term_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -31,17 +34,25 @@ def doc_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return term_rows(docs, id_col, text_col).select("id", F.size("t").alias("dl"))
 
 
+def term_rows_long(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, term): a row a term, sifted after the explosion, where it is compiled code; texts without one give none.
+
+    Texts are dealt by id first, so all that is counted inside a text is counted where it lies.  The outer form of explode
+    keeps the optimizer from splitting every text a second time, below the shuffle, to drop the empty ones.
+    """
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id")
+    return own.select("id", F.explode_outer(term_words("text")).alias("w")).select("id", F.lower("w").alias("term")).filter(is_term(F.col("term")))
+
+
 def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, df): texts that hold each term; distinct inside a row first, so one row a text and term is added up."""
-    return term_rows(docs, id_col, text_col).select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df): texts that hold each term."""
+    return term_rows_long(docs, id_col, text_col).distinct().groupBy("term").agg(F.count("*").alias("df"))
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: DataFrame | None = None) -> DataFrame:
-    """(id, term, tf, dl), of the terms in ``only`` if that is given; the rest is gone before anything is shuffled."""
-    each = term_rows(docs, id_col, text_col).select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    if only is not None:
-        each = each.join(only.select("term"), "term", "left_semi")
-    return each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, term, tf, dl): texts are shuffled once, by id; counts and lengths need no other shuffle."""
+    counted = term_rows_long(docs, id_col, text_col).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return counted.withColumn("dl", F.sum("tf").over(Window.partitionBy("id")).cast("int"))
 
 
 def raw_idf(df: Column, n: Column) -> Column:
@@ -50,38 +61,24 @@ def raw_idf(df: Column, n: Column) -> Column:
 
 @dataclass
 class Index:
-    """docs as given, their number and mean length, and df (term, df, idf)."""
+    """postings (id, term, tf, dl), weights (term, df, idf), the number of texts and their mean length."""
 
-    docs: DataFrame
-    id_col: str
-    text_col: str
+    postings: DataFrame
+    weights: DataFrame
     n: int
     mean_length: float
-    weights: DataFrame
-    stored: DataFrame | None = None
-    counts: DataFrame | None = None
-
-    def postings(self, only: DataFrame | None = None) -> DataFrame:
-        if self.stored is None:
-            return postings(self.docs, self.id_col, self.text_col, only)
-        return self.stored if only is None else self.stored.join(only.select("term"), "term", "left_semi")
-
-    def release(self) -> None:
-        """Drop the kept term counts."""
-        if self.counts is not None:
-            self.counts.unpersist()
 
     def write(self, path: str) -> None:
-        """Postings, weights and statistics as Parquet; a search then reads only what it needs of them."""
-        self.postings().write.mode("overwrite").parquet(f"{path}/postings")
+        """The index as Parquet in a folder of the caller's."""
+        spark = self.postings.sparkSession
+        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
         self.weights.write.mode("overwrite").parquet(f"{path}/weights")
-        spark = self.docs.sparkSession
         spark.createDataFrame([(self.n, self.mean_length)], "n long, mean_length double").write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Index:
-        found, stats = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats").first()
-        return cls(found, "id", "", stats["n"], stats["mean_length"], spark.read.parquet(f"{path}/weights"), found)
+        stats = spark.read.parquet(f"{path}/stats").first()
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/weights"), stats["n"], stats["mean_length"])
 
 
 def weigh(frequencies: DataFrame, n: int) -> DataFrame:
@@ -92,21 +89,22 @@ def weigh(frequencies: DataFrame, n: int) -> DataFrame:
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """Statistics over all texts; term weights are kept (in memory or on disk, made again if lost) until :meth:`Index.release`."""
-    stats = doc_lengths(docs, id_col, text_col).agg(F.count("*").alias("n"), F.avg("dl").alias("m")).first()
-    if not stats["n"]:
+    """An index over all texts, its tables written to the shared folder."""
+    n = docs.count()  # no column is read for it
+    if not n:
         raise ValueError("there is no text to index")
-    counts = term_frequencies(docs, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK)
-    return Index(docs, id_col, text_col, stats["n"], stats["m"] or 0.0, weigh(counts, stats["n"]), counts=counts)
+    own = materialise(postings(docs, id_col, text_col), "postings")
+    df = materialise(own.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")), "term-counts")
+    total = df.agg(F.sum("all").alias("m")).first()["m"] or 0
+    return Index(own, weigh(df.select("term", "df"), n), n, total / n)
 
 
 def search(index: Index, questions: DataFrame, limit: int, keys: list[str], text_col: str = "text") -> DataFrame:
     """(keys, rank, id, score) of the best ``limit`` texts a question; equal scores in id order, only scores above 0."""
     asked = questions.select(*keys, F.explode(terms(text_col)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("times"))
     asked = bounded(asked.join(index.weights.select("term", "idf"), "term"))
-    wanted = bounded(asked.select("term").distinct())
     norm = lx.BM25_K1 * (1 - lx.BM25_B + lx.BM25_B * F.col("dl") / F.lit(max(index.mean_length, 1e-9)))
     gain = F.col("times") * F.col("idf") * F.col("tf") * (lx.BM25_K1 + 1) / (F.col("tf") + norm)
-    scored = index.postings(wanted).join(asked, "term").groupBy(*keys, "id").agg(F.round(F.sum(gain), 6).alias("score"))
+    scored = index.postings.join(asked, "term").groupBy(*keys, "id").agg(F.round(F.sum(gain), 6).alias("score"))
     order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "id")
     return scored.filter("score > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select(*keys, "rank", "id", "score")

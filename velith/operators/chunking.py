@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from velith.functions import lexicon as lx
 from velith.functions.ids import chunk_id
-from velith.functions.text import count_tokens, detect_section, lines, split_sentences, words
+from velith.functions.text import count_tokens, detect_section, first_line, split_sentences, words
 from velith.functions.vectors import distance
 
 CHUNK = ["doc_id", "strategy", "chunk_index", "chunk_id", "text", "token_count", "page_start", "page_end", "section"]
@@ -39,13 +39,16 @@ def carry_sections(pages: DataFrame) -> DataFrame:
 def pages_to_sentences(pages: DataFrame) -> DataFrame:
     """(doc_id, ix, text, page, section, n): sentences with their page, section and token count.
 
-    A page starts in its own section if it has one; a sentence whose first line is a heading starts that section.
+    A page starts in its own section if it has one; a sentence whose first line is a heading starts that section.  Pages are
+    numbered before they are cut, so a sentence carries its page's place and not the page's text.
     """
-    one = pages.select("doc_id", "page_number", "section", "text", F.posexplode(split_sentences("text")).alias("pos", "sentence"))
-    heading = detect_section(F.get(lines("sentence"), F.lit(0)))
+    place = Window.partitionBy("doc_id").orderBy("page_number", "text")
+    placed = pages.select("doc_id", "page_number", "section", "text", F.rank().over(place).alias("place"))
+    one = placed.select("doc_id", "page_number", "section", "place", F.posexplode_outer(split_sentences("text")).alias("pos", "sentence")).filter("pos is not null")
+    heading = F.when(F.col("sentence").rlike(lx.HEADING_START), detect_section(first_line("sentence")))
     start = F.when((F.col("pos") == 0) & (F.col("section") != ""), F.col("section"))
-    order = Window.partitionBy("doc_id").orderBy("page_number", "page_text", "pos")
-    rows = one.select("doc_id", "page_number", F.col("text").alias("page_text"), "pos", F.col("sentence").alias("text"), F.coalesce(heading, start).alias("event"))
+    order = Window.partitionBy("doc_id").orderBy("place", "pos")
+    rows = one.select("doc_id", "page_number", "place", "pos", F.col("sentence").alias("text"), F.coalesce(heading, start).alias("event"))
     return rows.select(
         "doc_id",
         (F.row_number().over(order) - 1).alias("ix"),

@@ -1,4 +1,4 @@
-"""Broadcasts only behind a check of the size."""
+"""Broadcasts only behind a check of the size; scans with fewer tasks than cores spread before heavy work."""
 
 from __future__ import annotations
 
@@ -11,3 +11,13 @@ BROADCAST_ROWS = 200_000
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` narrow rows, else as it is, to be shuffled."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """A scan whose files give fewer tasks than there are cores, dealt to all of them by ``keys``; others as they are.
+
+    A file of one row group is one task however many cores there are.  A large table has far more tasks than cores, so
+    nothing is shuffled there.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velith.operators import evaluation as e
 from velith.operators.chunking import as_pages, sentence_chunks
 from velith.plans.catalog import inputs as i
+from velith.sources.scratch import scratch_path
 from velith.sources.snapshots import SnapshotTable
 from velith.streaming.ingest import append_batches, parquet_stream, run_available
 
@@ -78,8 +77,7 @@ def op_ab_encoders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents taken in as a stream, chunked and stored; the result is the stored table."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    folder = f"{shared.rstrip('/')}/velith-stream-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "stream")
     schema = "doc_id long, strategy string, chunk_index int, chunk_id string, text string, token_count int, page_start int, page_end int, section string"
     table = SnapshotTable(spark, f"{folder}/chunks", schema)
     stream = parquet_stream(spark, f"{sf_dir}/documents.parquet*", "doc_id long, text string, lang string, source string, n_chars long")

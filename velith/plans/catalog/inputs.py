@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velith.functions import lexicon as lx
+from velith.operators.sizes import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table for work that is heavy a row: dealt to all cores if its files give too few tasks."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 HEADS = {1: "§ 7a  Rest periods", 2: "Artikel 3", 3: "Abschnitt IV General rules", 4: " Seite 3 von 9", 5: "12", 6: "3.1 Scope Of Rules"}
 
 
@@ -21,7 +27,7 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.when(kind == 0, "- Seite 1 von 2 -")
     for k, text in HEADS.items():
         head = head.when(kind == k, text)
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey").select(
         F.col("l_orderkey").alias("doc_id"),
         F.col("l_linenumber").alias("page_number"),
         F.concat(head, F.lit("\n\n\n\nPart  "), F.col("l_partkey"), F.lit(" of supplier "), F.col("l_suppkey"), F.lit(" is due.   See Abs. "), F.col("l_linenumber"), F.lit(" and Nr. A"), F.col("l_suppkey"), F.lit(".\nThe line costs: (Net) "), F.col("l_partkey") * 7, F.lit(" cents!\tNo more.  \n"), F.col("l_partkey") % 50).alias("raw"),

@@ -14,7 +14,7 @@ from velith.plans.catalog import inputs as i
 
 
 def op_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = i.table(spark, sf_dir, "documents").select("doc_id", F.coalesce(terms("text"), F.array().cast("array<string>")).alias("t"))
+    t = i.documents(spark, sf_dir).select("doc_id", F.coalesce(terms("text"), F.array().cast("array<string>")).alias("t"))
     return t.select("doc_id", F.size("t").alias("n_terms"), F.md5(F.array_join("t", " ").cast("binary")).alias("terms_md5"))
 
 
@@ -23,7 +23,7 @@ def op_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return i.table(spark, sf_dir, "documents").select("doc_id", clean_text("text").alias("text"))
+    return i.documents(spark, sf_dir).select("doc_id", clean_text("text").alias("text"))
 
 
 def op_noise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def op_noise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op_detect_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = i.raw_pages(spark, sf_dir).select(F.explode(lines("raw")).alias("line"))
-    every = own.union(i.table(spark, sf_dir, "documents").select(F.explode(lines("text"))))
+    every = own.union(i.documents(spark, sf_dir).select(F.explode(lines("text"))))
     return every.select(detect_section("line").alias("section")).filter("section is not null").groupBy("section").agg(F.count("*").alias("n"))
 
 
@@ -50,7 +50,7 @@ def op_table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op_split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return i.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_sentences("text")).alias("ix", "sentence"))
+    return i.documents(spark, sf_dir).select("doc_id", F.posexplode(split_sentences("text")).alias("ix", "sentence"))
 
 
 def op_pages_to_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,11 +58,11 @@ def op_pages_to_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return i.table(spark, sf_dir, "documents").select("doc_id", count_tokens("text").alias("n_tokens"))
+    return i.documents(spark, sf_dir).select("doc_id", count_tokens("text").alias("n_tokens"))
 
 
 def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.as_pages(i.table(spark, sf_dir, "documents"))
+    return chunking.as_pages(i.documents(spark, sf_dir))
 
 
 def op_chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
