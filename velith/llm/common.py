@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_SHARED = "/tmp/checkpoints"
-_scratch: set[str] = set()
+from velith.sources.scratch import clear_scratch, materialise, scratch_path, shared_dir
+
+__all__ = ["by_bytes", "clear_scratch", "grouped", "held_out", "materialise", "scratch_path", "shared_dir", "slices", "table", "texts_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,45 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or DEFAULT_SHARED).rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends or by :func:`clear_scratch`."""
-    if not _scratch:
-        atexit.register(clear_scratch, spark)
-    path = f"{shared_dir(spark)}/velith-{tag}-{uuid.uuid4().hex}"
-    _scratch.add(path)
-    return path
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table of this driver.  Call it only when no result built on them is still to be read."""
-    try:
-        jvm = spark._jvm
-        conf = spark._jsc.hadoopConfiguration()
-        for path in list(_scratch):
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
-            _scratch.discard(path)
-    except Exception:  # the JVM may be gone when the interpreter ends; the folder is then the cluster's to clear
-        _scratch.clear()
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
-
-    Unlike a local checkpoint the files outlive any executor.  Each plan above runs once.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True where crc32 of the id as text leaves 0 modulo 5; a null id counts as held out."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
