@@ -58,17 +58,53 @@ def check(found, rows, least_recall):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
-def test_one_leaf_equals_all_pairs(spark, rows):
+def test_forest_equals_all_pairs(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("rep", F.lit("clash")).withColumn("code", F.lit(1)).withColumn("weight", F.lit(7))
-    check(ed.near_duplicates(df, block=32).collect(), rows, 1.0)
+    check(ed.near_duplicates(df).collect(), rows, 1.0)
 
 
-def test_forest_finds_nearly_all(spark, rows):
-    check(ed.near_duplicates(spark.createDataFrame(rows, SCHEMA), leaf=40, block=16).collect(), rows, 0.97)
+def test_routing_keeps_nearly_all(spark, rows):
+    found = ed.near_duplicates(spark.createDataFrame(rows, SCHEMA), group=60, node_sample=200, leaf=8).collect()
+    check(found, rows, 0.9)
 
 
-def test_small_sample_still_indexes_every_row(spark, rows):
-    check(ed.near_duplicates(spark.createDataFrame(rows, SCHEMA), leaf=40, sample_rows=150).collect(), rows, 0.9)
+def test_a_cluster_that_cannot_be_split_meets_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(16)
+    rows = [(k, (base + rng.standard_normal(16) * 0.01).astype(np.float32).tolist(), 1) for k in range(100)]
+    check(ed.near_duplicates(spark.createDataFrame(rows, SCHEMA), group=30).collect(), rows, 1.0)
+
+
+def test_groups_stay_bounded_however_many_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.standard_normal(32).astype(np.float32).tolist(), 1, 1, 32) for k in range(6000)]
+    classes = spark.createDataFrame([(label, dim, k, w, v) for k, v, label, w, dim in rows], "label long, dim long, rep long, weight long, embedding array<float>")
+    placed = ed.route(classes, 0.93, 500, 2, 500)
+    sizes = placed.groupBy("label", "dim", "code").count().agg(F.max("count"), F.count("*"), F.sum("count")).first()
+    assert sizes[0] <= 500 and sizes[1] >= 24
+    assert sizes[2] <= 6000 * 2 * 3  # copies by two routes and their margins
+    assert placed.select("rep").distinct().count() == 6000
+
+
+def leaf_sizes(data, **options):
+    by = {}
+    for i, v, label in data:
+        by.setdefault(label, []).append(v)
+    for label in sorted(by, key=str):
+        x = np.array(by[label], np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        yield len(x), [len(o) for o in ed.leaves(x.astype(np.float32), ed.LEAF, ed.margin(0.93, x.shape[1], ed.SPILL), np.random.default_rng(0))]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "check_s"])
+def test_trees_are_grown_on_the_shared_tables(spark, sf):
+    """Every label's rows are split into leaves with the production parameters, and none of them is the whole label."""
+    path = f"/root/testdata/{sf}/embeddings.parquet"
+    data = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(path).filter("label is not null and embedding is not null").collect()]
+    for n, leaves in leaf_sizes(data):
+        assert len(leaves) > 1 and max(leaves) < n
+    if sf == "sf0.01":
+        check(ed.near_duplicates(spark.read.parquet(path)).collect(), data, 0.95)
 
 
 def test_empty_table(spark):
@@ -77,7 +113,6 @@ def test_empty_table(spark):
     assert [tuple(r) for r in ed.near_duplicates(only).collect()] == [(1, 0, 1, True)]
 
 
-def test_recall_on_the_shared_table(spark):
-    path = "/root/testdata/sf0.01/embeddings.parquet"
-    data = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(path).collect()]
-    check(ed.near_duplicates(spark.read.parquet(path), leaf=16).collect(), data, 0.9)
+def test_scaled_copies_and_mixed_lengths(spark):
+    rows = [(1, [1.0, 2.0], 1), (2, [2.0, 4.0], 1), (3, [1.0, 2.0, 0.0], 1), (4, [3.0e30, 6.0e30], 1), (5, [1.0, 2.0], 2)]
+    check(ed.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect(), rows, 1.0)
