@@ -70,6 +70,35 @@ def test_equals_all_runs(documents, seed, least):
     assert got == sorted(repr((i, *order[(i, t)])) for i, t in rows)
 
 
+@pytest.mark.parametrize("least", [1, 7, 12])
+def test_suffix_array_and_intervals_equal_naive_ones(documents, least):
+    docs = documents(rows_of(7))
+    found = line_dedup.suffix_array(docs, least).collect()
+    seqs = {}
+    for r in found:
+        seqs.setdefault((r["_doc"], r["_hash"], r["island"]), {})[r["k"]] = r["r0"]
+    depth = 1 << line_dedup.rounds_for(least)
+    prefix = {(*key, k): tuple(seq.get(k + j, -1) for j in range(depth)) for key, seq in seqs.items() for k in seq}
+    ranks = {(r["_doc"], r["_hash"], r["island"], r["k"]): r["rank"] for r in found}
+    assert len(ranks) == len(found) > 20
+    for a, b in pairwise(sorted(prefix, key=lambda p: (prefix[p], repr(p)))):
+        assert (ranks[a] == ranks[b]) == (prefix[a] == prefix[b]) and ranks[a] <= ranks[b]
+    named, naive = {}, {}
+    for r in line_dedup.stretches(line_dedup.repeated_lines(docs), least).collect():
+        place = (r["_doc"], r["_hash"], r["k"])
+        island = next(i for d, h, i in seqs if (d, h) == place[:2] and r["k"] in seqs[d, h, i])
+        run = tuple(seqs[(*place[:2], island)][k] for k in range(r["k"], r["end"] + 1))
+        assert len(run) == r["name"]["size"]
+        named.setdefault(tuple(r["name"]), set()).add(place)
+        naive.setdefault(run, set()).add(place)
+    assert {frozenset(x) for x in named.values()} == {frozenset(x) for x in naive.values()} and len(named) == len(naive)
+
+
+def test_long_text_of_one_repeated_line(documents):
+    out = line_dedup.dedup_lines(documents([(1, "\n".join(["ten words stand in this very line of the text"] * 3000))]), 50).collect()
+    assert [(r["n_lines"], r["n_removed"]) for r in out] == [(3000, 2999)]
+
+
 def test_clean_keeps_columns_and_drops_emptied(documents):
     copy = "\n".join(f"line {k} of ten words that all the copies share now" for k in range(6))
     docs = documents([(1, copy), (2, copy), (3, "head\n" + copy + "\ntail"), (4, None), (5, "")])

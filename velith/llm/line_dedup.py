@@ -3,18 +3,22 @@
 The corpus is one long sequence of line ids, cut at document ends.  A run of lines counts when it has at least
 ``min_words`` words; of equal runs the first in (doc_id, line) order stays, later copies are deleted.
 
-* Lines are named by a 128-bit hash; lines that occur once end every run, so only stretches of repeated lines go on.
-* Prefix doubling names the 2^k lines from each position by the pair of names at distance 2^(k-1).  A line that counts
-  has a word, so runs of ``min_words`` lines suffice and the doubling stops at log2 of that, whatever the input's size:
-  positions of equal name are the suffixes of one longest-common-prefix interval cut at that depth.
-* Each position is given the shortest stretch with enough words that starts there and the one that ends there, named by
-  the two overlapping power-of-two names that cover it.  A maximal repeated run is exactly the union of the
-  repeated stretches inside it: any line of it has enough words of the run either before or after it.  So the intervals'
-  later members, merged where they touch, are the maximal runs' later copies.
-
-Everything runs within a document (one doubling needs no shuffle) or as aggregate and join on a name.  Names are combined
-before they are shuffled; what is joined on them is written first, so that either side of the join has a shuffle of its
-own and Spark can split a hot name.
+* Lines get order-preserving numbers: distinct lines (by a 128-bit hash) that occur twice are sorted over the cluster and
+  numbered in that order.  Lines that occur once end every run, so the text is cut into islands of repeated lines.
+* Prefix doubling: the rank of the 2^(k+1) lines from a position is the number of the pair (rank here, rank 2^k lines on)
+  among all distinct pairs in sorted order; past the island's end stands -1.  So after round k positions are ordered by
+  their first 2^k lines: the suffix array of all islands, read off by :func:`suffix_array`.  A line that counts has a word,
+  so runs of ``min_words`` lines suffice and doubling stops at log2 of that, whatever the input's size.
+* A longest-common-prefix interval of depth m is the set of suffixes that share their first m lines; they stand together
+  in the suffix array.  It is named by the ranks of the two blocks of 2^k lines, k = floor(log2 m), that cover the m lines.
+  Of each position two intervals are looked at: that of the shortest stretch with enough words that starts there and that
+  of the one that ends there.  A maximal repeated run is exactly the union of the repeated stretches inside it: any
+  line of it has enough words of the run either before or after it.  So the intervals' later members, merged where they
+  touch, are the maximal runs' later copies.
+
+Neighbours in a document are met by window functions over its rows, which spill; nothing is gathered in an array but the
+ranges to delete.  Ranks and intervals are found by aggregates that combine before the shuffle, and joined by a broadcast
+behind a row count or by a join that Spark can split at a hot key.
 
 Defined cases: null text stays null and has no line; blank lines are no part of the sequence, those between two deleted
 lines go with them; rows equal in doc_id and text count as one document and all get its result; rows with one doc_id but other texts
@@ -27,8 +31,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velith.llm.common import materialise
+from velith.operators.sizes import bounded
 
 KEY = ["_doc", "_hash"]
+ISLAND = [*KEY, "island"]
+#: Ranks (three numbers each) up to which they are sent to all executors; beyond that the join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def _name(*parts: Column) -> Column:
@@ -36,13 +44,10 @@ def _name(*parts: Column) -> Column:
     return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
 
 
-def _pair(x: Column, y: Column, *more: Column) -> Column:
-    return F.struct(F.xxhash64(x["a"], y["a"], *more).alias("a"), F.xxhash64(F.lit(1), x["b"], y["b"], *more).alias("b"))
-
-
-def _doubled(names: Column, step: int) -> Column:
-    """Names of twice as many lines from the names at distance ``step``; null where the stretch would leave the island."""
-    return F.transform(names, lambda x, i: F.when(i + step < F.col("n"), _pair(x, F.get(names, i + step))))
+def ranked(rows: DataFrame, *by: str, least: int = 1) -> DataFrame:
+    """(by, rank) of the distinct values that occur ``least`` times: rank grows with the order of the values."""
+    found = rows.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    return materialise(found.select(*by).orderBy(*by).withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
 
 def _without(text: Column, runs: Column) -> Column:
@@ -57,46 +62,76 @@ def _without(text: Column, runs: Column) -> Column:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """Lines that occur at least twice: key, line (its number), k (its number without blank lines), words, id."""
+    """Lines that occur at least twice: key, line (its number), k (its number without blank lines), words, r0 (its rank)."""
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("t"), F.regexp_count(x, F.lit(r"\S+")).alias("words")))
     lines = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"), F.posexplode(F.filter(numbered, lambda x: x["words"] > 0)).alias("k", "l"))
     lines = lines.select(*KEY, "k", "l.line", "l.words", _name(F.col("l.t")).alias("id"))
-    twice = materialise(lines.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "repeated-lines")
-    return lines.join(twice, "id", "left_semi")
+    names = ranked(lines, "id", least=2)
+    return lines.join(bounded(names, BROADCAST_ROWS), "id").select(*KEY, "k", "line", "words", F.col("rank").alias("r0"))
 
 
-def stretches(lines: DataFrame, min_words: int) -> DataFrame:
-    """Named stretches of just enough words: key, name, k and line number of the first line (k, first) and the last (end, last)."""
+def islands(lines: DataFrame, min_words: int) -> DataFrame:
+    """Positions of islands of enough words: key, island, k, line, before (words of the document's repeated lines before it), upto, r0."""
     in_doc = lines.repartition(*KEY).dropDuplicates([*KEY, "k"])
     by_k = Window.partitionBy(*KEY).orderBy("k")
     in_doc = in_doc.withColumn("upto", F.sum("words").over(by_k)).withColumn("island", F.col("k") - F.row_number().over(by_k))
-    item = F.struct("k", "line", "upto", (F.col("upto") - F.col("words")).alias("before"), "id")
-    islands = in_doc.groupBy(*KEY, "island").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list(item)).alias("s")).filter(F.col("words") >= min_words)
-    depth = max(0, min_words.bit_length() - 1)
-    islands = islands.withColumn("n", F.size("s")).withColumn("r0", F.transform("s", lambda x: x["id"]))
-    for k in range(depth):
-        islands = islands.withColumn(f"r{k + 1}", _doubled(F.col(f"r{k}"), 1 << k))
-    widths = F.array(*(F.lit(1 << k) for k in range(depth + 1)))
-    names = F.array(*(F.col(f"r{k}") for k in range(depth + 1)))
-
-    def stretch(first: Column, size: Column) -> Column:
-        level = F.floor(F.log2(size.cast("double") + 1e-6)).cast("int")
-        row = F.get(F.col("names"), level)
-        start, end = F.get(F.col("s"), first), F.get(F.col("s"), first + size - 1)
-        name = _pair(F.get(row, first), F.get(row, first + size - F.get(widths, level)), size)
-        return F.struct(name.alias("name"), start["k"].alias("k"), end["k"].alias("end"), start["line"].alias("from"), end["line"].alias("to"))
-
-    def forward(x: Column, i: Column) -> Column:
-        short = F.size(F.filter(F.slice(F.col("s"), i + 1, min_words), lambda y: y["upto"] < x["before"] + min_words))
-        return F.when(i + short < F.col("n"), stretch(i, short + 1))
-
-    def backward(x: Column, i: Column) -> Column:
-        low = F.greatest(i + 2 - min_words, F.lit(1))
-        short = F.size(F.filter(F.slice(F.col("s"), low, i + 2 - low), lambda y: y["before"] > x["upto"] - min_words))
-        return F.when(i - short >= 0, stretch(i - short, short + 1))
-
-    both = F.array_distinct(F.array_compact(F.concat(F.transform("s", forward), F.transform("s", backward))))
-    return islands.select(*KEY, "s", "n", names.alias("names")).select(*KEY, F.explode(both).alias("x")).select(*KEY, "x.name", "x.k", "x.end", F.col("x.from").alias("first"), F.col("x.to").alias("last"))
+    in_doc = in_doc.withColumn("_all", F.sum("words").over(Window.partitionBy(*ISLAND)))
+    return in_doc.filter(F.col("_all") >= min_words).select(*ISLAND, "k", "line", (F.col("upto") - F.col("words")).alias("before"), "upto", "r0")
+
+
+def doubled(positions: DataFrame, rounds: int) -> DataFrame:
+    """Positions with r1 .. r<rounds>: ranks of the 2, 4, ... lines from there on."""
+    order = Window.partitionBy(*ISLAND).orderBy("k")
+    for k in range(rounds):
+        own, on = f"r{k}", F.coalesce(F.lead(f"r{k}", 1 << k).over(order), F.lit(-1).cast("long"))
+        paired = materialise(positions.withColumn("_on", on), "positions")
+        names = ranked(paired, own, "_on").withColumnRenamed("rank", f"r{k + 1}")
+        positions = paired.join(bounded(names, BROADCAST_ROWS), [own, "_on"]).select(*positions.columns, f"r{k + 1}")
+    return positions
+
+
+def rounds_for(min_words: int) -> int:
+    return max(0, min_words.bit_length() - 1)
+
+
+def suffix_array(docs: DataFrame, min_words: int = 50) -> DataFrame:
+    """Suffixes of all islands with their rank by the first 2^rounds lines (equal ones share it), to be read in rank order."""
+    rounds = rounds_for(min_words)
+    found = doubled(islands(repeated_lines(docs), min_words), rounds)
+    return found.select(*ISLAND, "k", "r0", F.col(f"r{rounds}").alias("rank"))
+
+
+def stretches(lines: DataFrame, min_words: int) -> DataFrame:
+    """Stretches of just enough words under the names of their intervals: key, name, k and line number of the first line (k, first) and the last (end, last)."""
+    rounds = rounds_for(min_words)
+    rows = doubled(islands(lines, min_words), rounds)
+    order = Window.partitionBy(*ISLAND).orderBy("k")
+    levels = range(rounds + 1)
+    rows = rows.withColumn("r", F.array(*(F.col(f"r{k}") for k in levels)))
+    rows = rows.withColumn("q", F.array(*(F.lag(f"r{k}", (1 << k) - 1).over(order) for k in levels)))  # blocks that end here
+    ahead = Window.partitionBy(*ISLAND).orderBy("before").rangeBetween(0, min_words - 1)  # the shortest stretch from here, if the island holds it
+    behind = Window.partitionBy(*ISLAND).orderBy("upto").rangeBetween(1 - min_words, 0)
+    level = lambda size: F.floor(F.log2(size.cast("double") + 1e-6)).cast("int")
+
+    def stretch(whole: Column, size: Column, r: Column, q: Column, k: Column, end: Column, first: Column, last: Column) -> Column:
+        name = F.struct(size.alias("size"), F.get(r, level(size)).alias("x"), F.get(q, level(size)).alias("y"))
+        return F.when(whole, F.struct(name.alias("name"), k.alias("k"), end.alias("end"), first.alias("first"), last.alias("last")))
+
+    f = [F.max("upto").over(ahead) >= F.col("before") + min_words, F.count("*").over(ahead), F.last("q").over(ahead), F.max("k").over(ahead), F.max("line").over(ahead)]
+    b = [F.min("before").over(behind) <= F.col("upto") - min_words, F.count("*").over(behind), F.first("r").over(behind), F.min("k").over(behind), F.min("line").over(behind)]
+    rows = rows.select(*KEY, "k", "line", "r", "q", *(c.alias(f"f{i}") for i, c in enumerate(f)), *(c.alias(f"b{i}") for i, c in enumerate(b)))
+    c = F.col
+    forward = stretch(c("f0"), c("f1"), c("r"), c("f2"), c("k"), c("f3"), c("line"), c("f4"))
+    backward = stretch(c("b0"), c("b1"), c("b2"), c("q"), c("b3"), c("k"), c("b4"), c("line"))
+    each = rows.select(*KEY, F.explode(F.array_distinct(F.array_compact(F.array(forward, backward)))).alias("x"))
+    return each.select(*KEY, "x.name", "x.k", "x.end", "x.first", "x.last")
+
+
+def intervals(found: DataFrame) -> DataFrame:
+    """Longest-common-prefix intervals of two or more suffixes: name, earliest member."""
+    at = F.struct(*KEY, "k")
+    members = found.groupBy("name").agg(F.min(at).alias("earliest"), F.max(at).alias("_latest"))
+    return members.filter(F.col("earliest") != F.col("_latest")).select("name", "earliest")
 
 
 def later_copies(found: DataFrame) -> DataFrame:
@@ -106,7 +141,7 @@ def later_copies(found: DataFrame) -> DataFrame:
     """
     at = F.struct(*KEY, "k")
     found = materialise(found, "stretches")
-    firsts = materialise(found.groupBy("name").agg(F.min(at).alias("earliest"), F.count("*").alias("n")).filter("n > 1").select("name", "earliest"), "first-stretches")
+    firsts = materialise(intervals(found), "intervals")
     later = found.join(firsts, "name").filter(at > F.col("earliest")).select(*KEY, "k", "end", "first", "last")
     order = Window.partitionBy(*KEY).orderBy("k", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
