@@ -17,7 +17,7 @@ def test_commands(spark, tmp_path, capsys):
         assert cli.main(["--base", str(tmp_path / "kb"), *args]) == 0
         return [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
 
-    assert run("ingest", str(folder), "--strategy", "sentence", "fixed") == [{"seen": 4, "new": 4, "changed": 0, "skipped": 0}]
+    assert run("ingest", str(folder), "--strategy", "sentence", "fixed") == [{"seen": 4, "new": 4, "changed": 0, "skipped": 0, "pages": 4, "chunks": 8, "failures": 0}]
     assert run("embed")[0]["embedded"] == 8
     assert {r["strategy"]: r["embedded"] for r in run("stats")} == {"fixed": 4, "sentence": 4}
     assert run("search", "claim to paid leave")[0]["doc_id"] == "burlg"

@@ -124,12 +124,12 @@ def test_incremental_ingestion(spark, tmp_path):
     registry = corpora.corpus(spark, "german_labour_law")
     scan = lambda: files.scan(spark, f"{folder}", "*.txt")
     every = ["fixed", "sentence", "semantic"]
-    assert ingest(base, scan(), registry, every) == {"seen": 2, "new": 2, "changed": 0, "skipped": 0}
+    assert ingest(base, scan(), registry, every) == {"seen": 2, "new": 2, "changed": 0, "skipped": 0, "pages": 3, "chunks": 7, "failures": 0}
     pages = base.pages.read().filter("doc_id = 'kschg'").orderBy("page_number").collect()
     assert [(p["page_number"], p["section"]) for p in pages] == [(1, "§ 1 Scope"), (3, "§ 1 Scope")]
     assert base.documents.read().filter("doc_id = 'kschg'").first()["title"] == "Kündigungsschutzgesetz"
     assert base.chunks.read().select("doc_id", "strategy").distinct().count() == 6
-    assert ingest(base, scan(), registry, every) == {"seen": 2, "new": 0, "changed": 0, "skipped": 2}
+    assert ingest(base, scan(), registry, every) == {"seen": 2, "new": 0, "changed": 0, "skipped": 2, "pages": 0, "chunks": 0, "failures": 0}
     encode = encoder(dimension=8)
     n = base.chunks.read().count()
     assert embed(base, encode) == {"embedded": n, "pruned": 0}

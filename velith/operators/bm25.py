@@ -99,12 +99,16 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> In
     return Index(own, weigh(df.select("term", "df"), n), n, total / n)
 
 
-def search(index: Index, questions: DataFrame, limit: int, keys: list[str], text_col: str = "text") -> DataFrame:
-    """(keys, rank, id, score) of the best ``limit`` texts a question; equal scores in id order, only scores above 0."""
+def search(index: Index, questions: DataFrame, limit: int, keys: list[str], text_col: str = "text", within: DataFrame | None = None) -> DataFrame:
+    """(keys, rank, id, score) of the best ``limit`` texts a question; equal scores in id order, only scores above 0.
+
+    ``within`` holds the ids that may be found; weights are those of the whole index whatever it holds.
+    """
     asked = questions.select(*keys, F.explode(terms(text_col)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("times"))
     asked = bounded(asked.join(index.weights.select("term", "idf"), "term"))
     norm = lx.BM25_K1 * (1 - lx.BM25_B + lx.BM25_B * F.col("dl") / F.lit(max(index.mean_length, 1e-9)))
     gain = F.col("times") * F.col("idf") * F.col("tf") * (lx.BM25_K1 + 1) / (F.col("tf") + norm)
-    scored = index.postings.join(asked, "term").groupBy(*keys, "id").agg(F.round(F.sum(gain), 6).alias("score"))
+    own = index.postings if within is None else index.postings.join(bounded(within.select("id")), "id", "left_semi")
+    scored = own.join(asked, "term").groupBy(*keys, "id").agg(F.round(F.sum(gain), 6).alias("score"))
     order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "id")
     return scored.filter("score > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select(*keys, "rank", "id", "score")

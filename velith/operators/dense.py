@@ -2,10 +2,12 @@
 
 The query set is cut into blocks of bounded size; each block is sent to the executors and meets every partition of the
 vectors as a matrix product, of which a task keeps the best k a query.  So one row per query, task and place in the list
-is shuffled, never a pair.  Filters on the vectors go below the product, into the scan.
+is shuffled, never a pair.  Of several blocks one is held at a time: its lists are written before the next one is fetched.
+Filters on the vectors go below the product, into the scan.
 
-Defined cases: null vectors and vectors of another dimension than the queries' are skipped; a zero vector has cosine 0;
-scores are rounded to six decimals and ties go by id; an empty query set or table gives an empty result.
+Defined cases: ids are whole numbers or strings; null ids, null vectors and vectors of another dimension than the queries'
+are skipped; a zero vector has cosine 0; scores are rounded to six decimals and ties go by id; an empty query set or table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, ROW_BLOCK = 1024, 2048
+from velith.sources.scratch import materialise
+
+QUERY_BLOCK, ROW_BLOCK = 4096, 1024
 
 
 def scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
@@ -39,24 +43,30 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return np.take_along_axis(score, order, axis=1), np.take_along_axis(ids, order, axis=1)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", query_col: str = "query_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_col, rank, id, score); query ids and ids are whole numbers."""
+def _plain(df: DataFrame, name: str):
+    """An id column as a whole number or a string."""
+    return F.col(name).cast("string" if df.schema[name].dataType.simpleString() == "string" else "long")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", query_col: str = "query_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_col, rank, id, score)"""
     spark = vectors.sparkSession
-    asked = queries.select(F.col(query_col).cast("long").alias("q"), F.col(vector_col).alias("v")).filter("q is not null and v is not null")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+    asked = queries.select(_plain(queries, query_col).alias("q"), F.col(vector_col).cast("array<double>").alias("v")).filter("q is not null and v is not null")
+    blocks = max(1, -(-asked.count() // query_block))
+    rows = vectors.select(_plain(vectors, id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+    kinds = {"id": rows.schema["id"].dataType.simpleString(), "q": asked.schema["q"].dataType.simpleString()}
 
-    def near(block: int) -> DataFrame:
-        own = sorted((r["q"], list(map(float, r["v"]))) for r in asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).collect())
+    def near(block: int):
+        own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block)
         by_size: dict[int, list] = {}
-        for q, v in own:
+        for q, v in sorted((r["q"], r["v"]) for r in own.collect()):
             by_size.setdefault(len(v), []).append((q, v))
         shared = spark.sparkContext.broadcast({d: (np.array([q for q, _ in x]), np.array([v for _, v in x])) for d, x in by_size.items()})
 
         def run(batches):
-            held = {d: (np.full((len(q), 0), 0.0), np.zeros((len(q), 0), np.int64)) for d, (q, _) in shared.value.items()}
+            held = {d: (np.full((len(q), 0), 0.0), None) for d, (q, _) in shared.value.items()}
             for batch in batches:
-                ids, lists = np.asarray(batch.column(0)), batch.column(1)
+                ids, lists = np.array(batch.column(0).to_pylist(), str if kinds["id"] == "string" else np.int64), batch.column(1)
                 sizes = np.diff(np.asarray(lists.offsets))
                 for d, (_, matrix) in shared.value.items():
                     mine = np.flatnonzero(sizes == d)
@@ -64,14 +74,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine"
                         part = mine[at : at + ROW_BLOCK]
                         x = np.asarray(lists.take(pa.array(part)).flatten()).reshape(len(part), d)
                         s = np.round(scores(matrix, x, metric), 6)
+                        here = np.broadcast_to(ids[part], s.shape)
                         old, old_ids = held[d]
-                        held[d] = best(np.hstack([old, s]), np.hstack([old_ids, np.broadcast_to(ids[part], s.shape)]), k)
+                        held[d] = best(np.hstack([old, s]), here if old_ids is None else np.hstack([old_ids, here]), k)
             for d, (s, i) in held.items():
-                q = np.repeat(shared.value[d][0], s.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i.ravel()), pa.array(s.ravel())], names=["q", "id", "score"])
-
-        return rows.mapInArrow(run, "q long, id long, score double")
-
-    found = reduce(DataFrame.union, [near(b) for b in range(blocks)])
+                if i is not None:
+                    q = np.repeat(shared.value[d][0], s.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(q.tolist()), pa.array(i.ravel().tolist()), pa.array(s.ravel())], names=["q", "id", "score"])
+
+        return rows.mapInArrow(run, f"q {kinds['q']}, id {kinds['id']}, score double"), shared
+
+    if blocks == 1:
+        found = near(0)[0]
+    else:
+        parts = []
+        for block in range(blocks):
+            lists, shared = near(block)
+            parts.append(materialise(lists, "nearest"))
+            shared.unpersist()
+        found = reduce(DataFrame.union, parts)
     order = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("q").alias(query_col), "rank", "id", "score")

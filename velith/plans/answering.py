@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from velith.functions import lexicon as lx
 from velith.functions.answers import citation, excerpt, extract_citations, is_refusal, refused
-from velith.operators.context import REFUSAL, user_prompt
+from velith.operators.context import REFUSAL, system_prompt, user_prompt
 from velith.operators.fusion import with_confidence
 from velith.functions.answers import detect_language
 
@@ -21,16 +21,24 @@ def sources(results: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
     return joined.select(key, "rank", "id", "doc_id", "section", "text", citation("title", "doc_id", "section", "page_start", "page_end").alias("citation"), excerpt("text").alias("excerpt"), F.round("score", 6).alias("score"), "retriever")
 
 
-def answer(questions: DataFrame, results: DataFrame, chunks: DataFrame, key: str, mode: str, generate: Callable[[Column], Column], text_col: str = "text", budget: int = lx.CONTEXT, below: float = lx.REFUSE_BELOW) -> DataFrame:
+def answer(questions: DataFrame, results: DataFrame, chunks: DataFrame, key: str, mode: str, generate: Callable[[Column], Column], text_col: str = "text", budget: int = lx.CONTEXT, below: float = lx.REFUSE_BELOW, domain: str | None = None, language: str = "auto", history: DataFrame | None = None) -> DataFrame:
     """(key, question, answer, confidence, refused, cited, sources) of every question.
 
-    Questions below the threshold never reach the model: its function sees a null prompt for them.
+    Questions below the threshold never reach the model: its function sees a null prompt for them.  With a domain the prompt
+    opens with the instructions for it; ``history`` has the earlier turns (key, turn_rank, question, answer) that are to be
+    told, as ``operators.context.remembered`` picks them.
     """
     item = F.struct("rank", "id", "doc_id", "section", "text", "citation", "excerpt", "score", "retriever")
     found = sources(results, chunks, key).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("s"))
     asked = questions.select(key, F.col(text_col).alias("question")).join(with_confidence(questions, results, key, mode), key).join(found, key, "left")
+    if history is not None:
+        turn = F.struct(-F.col("turn_rank").alias("at"), "question", "answer")
+        told = history.groupBy(key).agg(F.array_sort(F.collect_list(turn)).alias("history"))
+        asked = asked.join(told, key, "left")
     gate = asked.withColumn("gated", refused("confidence", "results", below))
-    prompt = user_prompt("question", F.transform("s", lambda x: x["citation"]), F.transform("s", lambda x: x["text"]), budget=budget)
+    prompt = user_prompt("question", F.transform("s", lambda x: x["citation"]), F.transform("s", lambda x: x["text"]), "history" if history is not None else None, budget=budget)
+    if domain is not None:
+        prompt = F.concat(system_prompt("question", domain, language), F.lit("\n\n"), prompt)
     said = gate.withColumn("prompt", F.when(~F.col("gated"), prompt)).withColumn("said", generate(F.col("prompt")))
     none = F.when(detect_language("question") == "German", REFUSAL["German"]).otherwise(REFUSAL["English"])
     text = F.when(F.col("gated"), none).otherwise(F.col("said"))
@@ -41,6 +49,18 @@ def answer(questions: DataFrame, results: DataFrame, chunks: DataFrame, key: str
     return out.select(key, "question", "answer", "confidence", "refused", (F.size("cites") > 0).alias("cited"), marked.alias("sources"))
 
 
+def events(answers: DataFrame, key: str):
+    """What a client is told while it waits, question by question: sources, then the answer word by word, then the outcome.
+
+    Rows come to the driver one at a time.
+    """
+    for row in answers.toLocalIterator():
+        yield {"event": "sources", key: row[key], "sources": [s.asDict() for s in row["sources"]]}
+        for word in (row["answer"] or "").split():
+            yield {"event": "token", key: row[key], "text": word}
+        yield {"event": "done", key: row[key], "confidence": row["confidence"], "refused": row["refused"]}
+
+
 def log_rows(answers: DataFrame, key: str, strategy: str, mode: str, model: str) -> DataFrame:
     """Rows for the query log."""
     return answers.select(F.col(key).alias("session_id"), "question", "answer", F.lit(strategy).alias("strategy"), F.lit(mode).alias("retrieval_mode"), "confidence", "refused", F.transform("sources", lambda s: s["id"].cast("string")).alias("chunk_ids"), F.lit(model).alias("llm_model"), F.current_timestamp().alias("created_at"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from velith.operators import evaluation as e
 from velith.operators.chunking import as_pages, sentence_chunks
+from velith.functions import lexicon as lx
 from velith.plans.catalog import inputs as i
+from velith.plans.catalog.text import sentence_sql
 from velith.sources.scratch import scratch_path
 from velith.sources.snapshots import SnapshotTable
 from velith.streaming.ingest import append_batches, parquet_stream, run_available
@@ -79,7 +81,7 @@ def op_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents taken in as a stream, chunked and stored; the result is the stored table."""
     folder = scratch_path(spark, "stream")
     schema = "doc_id long, strategy string, chunk_index int, chunk_id string, text string, token_count int, page_start int, page_end int, section string"
-    table = SnapshotTable(spark, f"{folder}/chunks", schema)
+    table = SnapshotTable(spark, f"{folder}/chunks", schema, key="doc_id")
     stream = parquet_stream(spark, f"{sf_dir}/documents.parquet*", "doc_id long, text string, lang string, source string, n_chars long")
     run_available(stream, append_batches(table, ["doc_id"], lambda batch: sentence_chunks(as_pages(batch))), f"{folder}/checkpoint")
     return table.read()
@@ -89,6 +91,7 @@ GRID = f"""SELECT strategy, mode, count(*) AS questions, round(avg(CASE WHEN len
     round(avg(CAST(answerable <> refused AS INTEGER)), 4) AS refusal_accuracy, round(avg(CASE WHEN answerable THEN CAST(cited AS INTEGER) END), 4) AS citation_rate, round(avg(confidence), 4) AS avg_confidence, CAST(round(avg(latency_ms), 0) AS BIGINT) AS avg_latency_ms FROM ({i.SAMPLES}) GROUP BY ALL"""
 
 SQL = {
+    "op_stream_ingest": sentence_sql(lx.SENTENCE_TOKENS),
     "op_hit_rate": f"SELECT question_id, CASE WHEN len(expected_docs) > 0 THEN list_has_any(expected_docs, retrieved_docs) END AS hit FROM ({i.SAMPLES})",
     "op_refusal_accuracy": f"SELECT strategy, mode, refusal_accuracy FROM ({GRID})",
     "op_citation_rate": f"SELECT strategy, mode, citation_rate FROM ({GRID})",

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from velith.functions import lexicon as lx
 from velith.functions.answers import refused
 from velith.operators import bm25, dense, fusion
-from velith.plans import retrieval
+from velith.operators.chunking import letter_encoder
+from velith.plans import evaluating, retrieval
 from velith.plans.catalog import inputs as i
 
 
@@ -128,6 +129,44 @@ def op_refusal_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _confidence(spark, sf_dir, "hybrid").select("item_id", "confidence", refused("confidence", "results").alias("refused"))
 
 
+KB_DOCS = ["src1", "src3", "src5", "src8", "src13"]
+
+
+def knowledge_base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(chunks, points) mapped from documents: a chunk a text, its source as its document, its language as category."""
+    own = i.documents(spark, sf_dir)
+    strategy = F.when(F.col("doc_id") % 2 == 0, "sentence").otherwise("fixed")
+    none = F.lit(None).cast("string")
+    chunks = own.select(F.concat(F.lit("doc-"), "doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), strategy.alias("strategy"), F.col("lang").alias("category"), "text", none.alias("title"), none.alias("section"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"))
+    return chunks, chunks.filter("text is not null").select("chunk_id", "doc_id", "strategy", letter_encoder(F.col("text")).alias("vector"))
+
+
+def _kb_search(spark: SparkSession, sf_dir: str, mode: str, **options) -> DataFrame:
+    chunks, points = knowledge_base(spark, sf_dir)
+    found = retrieval.search_chunks(chunks, points, questions(spark, sf_dir), "item_id", letter_encoder, mode, "sentence", expand=False, **options)
+    return found.select("item_id", "rank", F.col("id").alias("chunk_id"), "score", "retriever")
+
+
+def op_kb_retrieve_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kb_search(spark, sf_dir, "dense")
+
+
+def op_kb_retrieve_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kb_search(spark, sf_dir, "sparse", doc_ids=KB_DOCS)
+
+
+def op_kb_retrieve_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kb_search(spark, sf_dir, "hybrid", doc_ids=KB_DOCS)
+
+
+def op_eval_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A retrieval-only evaluation of every benchmark item over strategies and modes, summed up a cell."""
+    chunks, points = knowledge_base(spark, sf_dir)
+    asked = questions(spark, sf_dir).select(F.col("item_id").alias("id"), F.col("text").alias("question"), F.lit("").alias("ground_truth"), F.array(F.concat(F.lit("src"), F.col("item_id") % 20)).alias("expected_docs"), (F.col("item_id") % 5 != 0).alias("answerable"))
+    rows = evaluating.run(chunks, points, asked, ["sentence", "fixed"], ["dense", "sparse", "hybrid"], letter_encoder, expand=False)
+    return evaluating.summary(rows).select("strategy", "mode", "questions", "retrieval_hit_rate", "refusal_accuracy", F.round("avg_confidence", 3).alias("avg_confidence"))
+
+
 INDEX = f"""t AS (SELECT doc_id, {i.sql_terms('text')} AS t FROM documents), dl AS (SELECT doc_id, len(t) AS dl FROM t),
     tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM t) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
     st AS (SELECT count(*)::DOUBLE AS n, avg(dl)::DOUBLE AS m FROM dl), rw AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS idf FROM df, st),
@@ -190,7 +229,37 @@ def expansion_sql(x: str) -> str:
         QUALIFY row_number() OVER (PARTITION BY lower(e) ORDER BY k) = 1))"""
 
 
+KB_LETTERS = "[" + ", ".join(f"CAST(len(regexp_extract_all(text, '{g}')) AS DOUBLE)" for g in ["[aeiou]", "[bcdfg]", "[hjklm]", "[npqrs]", "[tvwxyz]", "[0-9]", "[ ]", "[A-Z]"]) + "]"
+
+
+def kb_sql(odd: int = 0, docs: list[str] | None = None) -> str:
+    """Tables s, d (the two candidate lists) and f (fused) over the chunks of one strategy, before the final SELECT."""
+    only = f"src IN ({', '.join(map(i.q, docs))})" if docs else "true"
+    sparse = sparse_sql("s", "SELECT item_id, text FROM benchmark", "item_id", 20).replace("JOIN dl USING (doc_id), st", f"JOIN dl USING (doc_id) JOIN (SELECT doc_id FROM kb WHERE {only}) USING (doc_id), st")
+    return f"""WITH kb AS (SELECT 'doc-' || doc_id AS doc_id, source AS src, text FROM documents WHERE doc_id % 2 = {odd}), {INDEX.replace('FROM documents', 'FROM kb')}, {sparse},
+        kv AS (SELECT doc_id AS id, {KB_LETTERS} AS v FROM kb WHERE text IS NOT NULL AND {only}), kq AS (SELECT item_id, {KB_LETTERS} AS v FROM benchmark),
+        ds AS (SELECT item_id, id, {SCORE['cosine'].replace('e.v', 'kv.v').replace('q.v', 'kq.v')} AS score FROM kq, kv),
+        d AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM ds QUALIFY rank <= 20), {MERGED[MERGED.index('m AS ('):]}"""
+
+
+def _cell_sql(odd: int, strategy: str, mode: str) -> str:
+    """One cell of the grid: found, sure and right, summed up over the questions."""
+    dense_part = "least(1::DOUBLE, greatest(0::DOUBLE, (max(dense_score) - 0.70::DOUBLE) / 0.25::DOUBLE))"
+    sparse_part = "max(sparse_score) / (max(sparse_score) + 12::DOUBLE)"
+    r = {"dense": "SELECT item_id, id, score AS dense_score, NULL::DOUBLE AS sparse_score FROM d WHERE rank <= 5", "sparse": "SELECT item_id, id, NULL::DOUBLE AS dense_score, score AS sparse_score FROM s WHERE rank <= 5", "hybrid": "SELECT item_id, id, dense_score, sparse_score FROM f"}[mode]
+    strength = f"CASE WHEN max(dense_score) IS NOT NULL THEN {dense_part} ELSE {sparse_part} END"
+    sure = f"0.7::DOUBLE * {strength} + 0.3::DOUBLE * count(*) FILTER (WHERE dense_score IS NOT NULL AND sparse_score IS NOT NULL) / nullif(count(r.id), 0)" if mode == "hybrid" else strength
+    return f"""SELECT '{strategy}' AS strategy, '{mode}' AS mode, count(*) AS questions, round(avg(CAST(hit AS INTEGER)), 4) AS retrieval_hit_rate,
+        round(avg(CAST(CASE WHEN item_id % 5 <> 0 THEN NOT refused ELSE refused END AS INTEGER)), 4) AS refusal_accuracy, round(round(avg(confidence), 4), 3) AS avg_confidence FROM (
+        SELECT *, n = 0 OR confidence < 0.3::DOUBLE AS refused FROM ({kb_sql(odd)} SELECT b.item_id, count(r.id) AS n, coalesce(round({sure}, 4), 0) AS confidence, coalesce(bool_or(src = 'src' || b.item_id % 20), false) AS hit
+            FROM benchmark b LEFT JOIN ({r}) r USING (item_id) LEFT JOIN kb ON kb.doc_id = r.id GROUP BY b.item_id))"""
+
+
 SQL = {
+    "op_kb_retrieve_dense": f"{kb_sql()} SELECT item_id, rank, id AS chunk_id, score, 'dense' AS retriever FROM d WHERE rank <= 5",
+    "op_kb_retrieve_sparse": f"{kb_sql(docs=KB_DOCS)} SELECT item_id, rank, id AS chunk_id, score, 'sparse' AS retriever FROM s WHERE rank <= 5",
+    "op_kb_retrieve_hybrid": f"{kb_sql(docs=KB_DOCS)} SELECT item_id, rank, id AS chunk_id, score, retriever FROM f",
+    "op_eval_run": " UNION ALL ".join(_cell_sql(odd, strategy, mode) for odd, strategy in enumerate(["sentence", "fixed"]) for mode in ("dense", "sparse", "hybrid")),
     "op_term_df": f"WITH {INDEX} SELECT term, df FROM df",
     "op_doc_len": f"WITH {INDEX} SELECT doc_id, CAST(dl AS INTEGER) AS dl FROM dl",
     "op_postings": f"WITH {INDEX} SELECT doc_id, term, tf, CAST(dl AS INTEGER) AS dl FROM tf JOIN dl USING (doc_id)",

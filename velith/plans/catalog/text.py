@@ -124,6 +124,17 @@ FROM_RANGES = f"""
     SELECT doc_id, strategy, chunk_index, {CHUNK_ID}, text, CAST({i.sql_count('text')} AS INTEGER) AS token_count, 1 AS page_start, 1 AS page_end, CAST(NULL AS VARCHAR) AS section FROM named"""
 LETTERS = "[" + ", ".join(f"CAST(len(regexp_extract_all(text, '{g}')) AS DOUBLE)" for g in ["[aeiou]", "[bcdfg]", "[hjklm]", "[npqrs]", "[tvwxyz]", "[0-9]", "[ ]", "[A-Z]"]) + "]"
 
+def sentence_sql(budget: int) -> str:
+    """Greedy packing of whole sentences, one sentence a step."""
+    return f"""
+        WITH RECURSIVE p AS ({PIECES}), l AS (SELECT doc_id, list({i.sql_count('text')} ORDER BY i) AS n FROM p GROUP BY doc_id),
+        s AS (SELECT doc_id, n, 0 AS i, 0 AS start, 0 AS total, NULL::INTEGER AS a, NULL::INTEGER AS b, false AS alone FROM l
+            UNION ALL SELECT doc_id, n, i + 1, CASE WHEN n[i + 1] > {budget} THEN i + 1 WHEN total + n[i + 1] > {budget} AND start < i THEN i - 1 ELSE start END,
+                CASE WHEN n[i + 1] > {budget} THEN 0 WHEN total + n[i + 1] > {budget} AND start < i THEN n[i] + n[i + 1] ELSE total + n[i + 1] END,
+                CASE WHEN (n[i + 1] > {budget} OR total + n[i + 1] > {budget}) AND start < i THEN start END, i, n[i + 1] > {budget} FROM s WHERE i < len(n)),
+        ranges AS (SELECT doc_id, a, b FROM s WHERE a IS NOT NULL UNION ALL SELECT doc_id, b, b + 1 FROM s WHERE alone UNION ALL SELECT doc_id, start, i FROM s WHERE i = len(n) AND start < i), {FROM_RANGES.replace('STRATEGY', "'sentence'")}"""
+
+
 SQL = {
     "op_tokenize": f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n_terms, md5(array_to_string(t, ' ')) AS terms_md5 FROM (SELECT doc_id, {i.sql_terms('text')} AS t FROM documents)",
     "op_clean_text": f"SELECT doc_id, page_number, text, section FROM ({CLEAN})",
@@ -157,13 +168,7 @@ SQL = {
         g AS (SELECT w.doc_id, 'fixed' AS strategy, CAST(start // 32 AS INTEGER) AS chunk_index, string_agg(t, ' ' ORDER BY k) AS text, CAST(count(*) AS INTEGER) AS token_count, min(page) AS page_start, max(page) AS page_end, arg_min(section, k) FILTER (WHERE section IS NOT NULL) AS section
               FROM w JOIN n ON n.doc_id = w.doc_id AND k >= start AND k < start + 40 GROUP BY w.doc_id, start)
         SELECT doc_id, strategy, chunk_index, {CHUNK_ID}, text, token_count, page_start, page_end, section FROM g""",
-    "op_chunk_sentence": f"""
-        WITH RECURSIVE p AS ({PIECES}), l AS (SELECT doc_id, list({i.sql_count('text')} ORDER BY i) AS n FROM p GROUP BY doc_id),
-        s AS (SELECT doc_id, n, 0 AS i, 0 AS start, 0 AS total, NULL::INTEGER AS a, NULL::INTEGER AS b, false AS alone FROM l
-            UNION ALL SELECT doc_id, n, i + 1, CASE WHEN n[i + 1] > 64 THEN i + 1 WHEN total + n[i + 1] > 64 AND start < i THEN i - 1 ELSE start END,
-                CASE WHEN n[i + 1] > 64 THEN 0 WHEN total + n[i + 1] > 64 AND start < i THEN n[i] + n[i + 1] ELSE total + n[i + 1] END,
-                CASE WHEN (n[i + 1] > 64 OR total + n[i + 1] > 64) AND start < i THEN start END, i, n[i + 1] > 64 FROM s WHERE i < len(n)),
-        ranges AS (SELECT doc_id, a, b FROM s WHERE a IS NOT NULL UNION ALL SELECT doc_id, b, b + 1 FROM s WHERE alone UNION ALL SELECT doc_id, start, i FROM s WHERE i = len(n) AND start < i), {FROM_RANGES.replace('STRATEGY', "'sentence'")}""",
+    "op_chunk_sentence": sentence_sql(64),
     "op_chunk_semantic": f"""
         WITH RECURSIVE p AS ({PIECES}), v AS (SELECT *, {LETTERS} AS v FROM p), g AS (SELECT *, lag(v) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM v),
         d AS (SELECT doc_id, i, {i.sql_count('text')} AS n, CASE WHEN u IS NOT NULL THEN round(1 - list_dot_product(u, v) / ((CASE WHEN list_dot_product(u, u) = 0 THEN 1 ELSE sqrt(list_dot_product(u, u)) END) * (CASE WHEN list_dot_product(v, v) = 0 THEN 1 ELSE sqrt(list_dot_product(v, v)) END)), 9) END AS d FROM g),

@@ -42,19 +42,25 @@ def plain_pages(content: bytes) -> Iterable[tuple[str, list[list[list[str | None
 
 
 def read_pages(files: DataFrame, reader: Reader = plain_pages, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys, page_number, raw, tables) with one row a page; the reader runs on the executors, one file at a time."""
+    """(keys, page_number, raw, tables, error) with one row a page; the reader runs on the executors, one file at a time.
+
+    A file that the reader fails on is one row with the error and no page; the other files aren't touched by it.
+    """
 
     def run(frames):
         for frame in frames:
             for row in frame.itertuples(index=False):
-                pages = [(k, raw, tables) for k, (raw, tables) in enumerate(reader(bytes(row.content)), 1)]
-                out = pd.DataFrame(pages, columns=["page_number", "raw", "tables"])
+                try:
+                    pages = [(k, raw, tables, None) for k, (raw, tables) in enumerate(reader(bytes(row.content)), 1)]
+                except Exception as problem:
+                    pages = [(0, None, None, f"{type(problem).__name__}: {problem}")]
+                out = pd.DataFrame(pages, columns=["page_number", "raw", "tables", "error"])
                 for key in keys:
                     out[key] = getattr(row, key)
-                yield out[[*keys, "page_number", "raw", "tables"]]
+                yield out[[*keys, "page_number", "raw", "tables", "error"]]
 
     kinds = ", ".join(f"{k} {files.schema[k].dataType.simpleString()}" for k in keys)
-    return files.select(*keys, "content").mapInPandas(run, f"{kinds}, page_number int, raw string, tables array<array<array<string>>>")
+    return files.select(*keys, "content").mapInPandas(run, f"{kinds}, page_number int, raw string, tables array<array<array<string>>>, error string")
 
 
 def parsed(pages: DataFrame) -> DataFrame:

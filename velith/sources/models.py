@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
 
+from velith.functions.text import split_sentences
+
 Texts = Iterator[pd.Series]
 
 
@@ -74,3 +76,15 @@ def overlap_judge(claim: Column, context: Column, least: float = 0.5) -> Column:
     """Stand-in for a judge: whether at least that share of the claim's words stands in the context; null without words."""
     own, there = (F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))) for x in (claim, context))
     return F.when(F.size(own) > 0, F.size(F.array_intersect(own, there)) >= least * F.size(own))
+
+
+def recall_judge(truth: Column, context: Column, least: float = 0.5) -> Column:
+    """Stand-in: struct of the sentences of a ground truth that the context holds (``overlap_judge``) and of all of them."""
+    own = split_sentences(truth)
+    held = F.filter(own, lambda s: F.coalesce(overlap_judge(s, context, least), F.lit(False)))
+    return F.struct(F.size(held).alias("attributable"), F.size(own).alias("total"))
+
+
+def tokens_per_second(tokens: Column, latency_ms: Column) -> Column:
+    """Throughput of a completion; 0 where no time is known."""
+    return F.when(latency_ms > 0, F.round(tokens * 1000.0 / latency_ms, 2)).otherwise(0.0)

@@ -20,7 +20,7 @@ def upsert_batches(table: SnapshotTable, keys: list[str], shape: Callable[[DataF
 
     def write(batch: DataFrame, _: int) -> None:
         new = store.last_wins(shape(batch), keys, order)
-        table.change(lambda old: store.upsert(old, new, keys))
+        table.change(lambda old: store.upsert(old, new, keys), touched=new if table.key in keys else None)
 
     return write
 
@@ -29,7 +29,7 @@ def append_batches(table: SnapshotTable, keys: list[str], shape: Callable[[DataF
     """A foreachBatch function: all rows of the keys in the batch are replaced by what ``shape`` makes of them."""
 
     def write(batch: DataFrame, _: int) -> None:
-        table.change(lambda old: store.replace_groups(old, shape(batch), keys))
+        table.change(lambda old: store.replace_groups(old, shape(batch), keys), touched=batch if table.key in keys else None)
 
     return write
 
