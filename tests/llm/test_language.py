@@ -63,3 +63,9 @@ def test_few_languages(spark):
 def test_features_do_not_depend_on_the_batch():
     texts = ["abc", "", "xyz " * 500, "ä", "ab"]
     assert np.allclose(li.features(texts), np.concatenate([li.features([t]) for t in texts]))
+
+
+def test_held_out_accuracy_on_the_shared_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = li.predict(docs, li.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred != 'und'").select("lang", "lang_pred").collect()
+    assert len(found) > 50 and sum(r["lang"] == r["lang_pred"] for r in found) >= 0.97 * len(found)

@@ -82,3 +82,29 @@ def test_the_risk_is_unbiased_and_bounded():
 def test_isotonic_rises():
     at, value = quality.isotonic(np.array([0.0, 1, 2, 3, 4, 4]), np.array([0, 1, 0, 1, 1, 0.0]))
     assert (np.diff(value) >= 0).all() and (np.diff(at) >= 0).all()
+
+
+@pytest.mark.parametrize("prior", [0.15, 0.4, 0.8])
+def test_prior_is_found_from_positives_and_unlabelled_rows(prior):
+    rng = np.random.default_rng(8)
+    part = lambda n, shift: rng.standard_normal((n, quality.WIDTH)) + shift
+    n = 3000
+    unlabelled = np.concatenate([part(int(n * prior), 0.25), part(n - int(n * prior), -0.25)])
+    fold = lambda x: rng.integers(0, quality.FOLDS, len(x))
+    positive = part(1500, 0.25)
+    assert abs(quality.class_prior((positive, fold(positive)), (unlabelled, fold(unlabelled))) - prior) < 0.1
+
+
+def test_held_out_accuracy_on_the_shared_table(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.score(docs, quality.train(docs, labels)).join(labels, "doc_id").filter("held_out").select("quality", "predicted").collect()
+    assert len(found) > 50 and sum(r["quality"] == r["predicted"] for r in found) >= 0.9 * len(found)
+
+
+def test_features_of_a_long_text_of_marks_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    quality.features([" ".join(chr(33 + k % 15) + chr(33 + k // 15 % 15) + chr(33 + k // 225 % 15) for k in range(400_000))])
+    assert time.perf_counter() - began < 20

@@ -94,3 +94,35 @@ def test_nothing_to_learn_from(documents):
     docs = documents([(1, None), (2, "plain words")])
     assert [r["spans"] for r in ss.scan(docs, ss.train(docs, made_up=30)).collect()] == ["", ""]
     assert ss.scan(documents([]), ss.train(documents([]), made_up=30)).count() == 0
+
+
+def test_spans_of_the_network_by_kind(spark):
+    """Recall on keys planted in texts that training didn't see, and what it marks among harmless tokens, by kind."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    net = ss.train(docs.filter("doc_id % 2 = 0"))
+    plain = [r["text"] for r in docs.filter("doc_id % 2 = 1 and length(text) > 400").orderBy("doc_id").limit(60).collect()]
+    rng = np.random.default_rng(99)
+    pick = lambda chars, k: "".join(rng.choice(list(chars), k))
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    planted = {"ghp": lambda: f"ghp_{pick(low + up + digits, 34)}1a", "live": lambda: f"sk_live_{pick(low + up + digits, 22)}2B", "base64": lambda: pick(low + up + digits + "+/", 36) + "7q", "slack": lambda: f"xoxb-{pick(digits, 12)}-{pick(low + up + digits, 24)}"}
+    harmless = {"path": lambda: f"{pick(low, 8)}/{pick(low, 9)}/{pick(digits, 3)}", "number": lambda: pick(digits, 18), "slug": lambda: f"{pick(low, 7)}-{pick(low, 8)}-{pick(digits, 2)}", "name": lambda: f"{pick(low, 9)}_{pick(low, 9)}_{pick(digits, 1)}"}
+    marked = {}
+    for kind, make in {**planted, **harmless}.items():
+        texts, places = [], []
+        for text in plain:
+            at, token = text.find(" ", 150) + 1, make()
+            texts.append(f"{text[:at]}{token} {text[at:]}")
+            places.append((at, at + len(token)))
+        spans, _ = ss.spans_of(texts, net)
+        marked[kind] = sum(any(k == 3 and s < end and e > start for s, k, e in own) for own, (start, end) in zip(spans, places, strict=True)) / len(texts)
+    assert all(marked[k] >= 0.9 for k in planted), marked
+    assert all(marked[k] <= 0.1 for k in harmless), marked
+
+
+def test_the_sample_is_drawn_by_hash(documents):
+    docs = documents([(k, f"text {k} password = zzz{k:06d}abc and token = aaa{k:06d}xyz here " + "plain words " * 60) for k in range(40)])
+    found = ss.labelled(docs, 30, 1, 50)
+    assert [r[0] for r in found] == sorted(r[0] for r in found) and {r[1] for r in found} == {1, 2}
+    tokens = [r[3] for r in found if r[1] == 1]
+    assert len(tokens) == 30 and tokens != sorted(tokens)
+    assert all(len(r[2]) == 50 for r in found if r[1] == 2) and len({r[2][:20] for r in found if r[1] == 2}) > 2

@@ -6,10 +6,11 @@ their label.  With class prior pi the non-negative risk
     pi * E_P[l(g, +1)] + max(0, E_U[l(g, -1)] - pi * E_P[l(g, -1)])
 
 is minimised for a linear scorer over whole-text features (logistic loss, Adam; where the second part turns negative
-its gradient is reversed, as the method asks).  pi is estimated from the training labels as the share of positives among
-labelled documents, with one of each added.  Scores are then calibrated on labelled training documents, by margins from
-scorers that haven't seen them (five folds): a rising step function of the margin, with a tenth of a logistic fit so that
-ranks stay.
+its gradient is reversed, as the method asks).  pi is estimated from positives and unlabelled documents alone: a first
+scorer (pi one half) ranks rows that it hasn't seen, and since the share of unlabelled rows above any margin is at least pi
+times the share of positives above it, pi is the least ratio of the two, with an allowance for the sizes of the samples.
+Scores are then calibrated on labelled training documents, by margins from scorers that haven't seen them (five folds): a
+rising step function of the margin, with a tenth of a logistic fit so that ranks stay.
 
 Training reads at most ``sample`` positives and ``sample`` unlabelled and ``sample`` calibration documents, by hash of
 the id: the sample bound is the parameter, everything else sees every document.
@@ -18,13 +19,16 @@ Features of a whole text: root shares of each byte; shares of words equal to the
 words that end in two marks, of distinct shouted words, each plain and saturating at an eighth; the share of words met
 before; the log of the length.  doc_id, lang and source are no features.
 
-Defined cases: null texts are empty texts and have a score; repeated rows are scored each; without any positive label
-every score is the prior; labels other than 0 and 1, null labels and null ids are ignored in training.
+Defined cases: null texts are empty texts and have a score; repeated rows are scored each; without any positive label or
+any unlabelled text every score is one half; labels other than 0 and 1, null labels and null ids are ignored in training; an
+empty table gives an empty result; very long texts are read whole, in time proportional to their length; columns other
+than doc_id, text and quality are not looked at.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 from itertools import pairwise
 
@@ -49,12 +53,12 @@ def features(texts: list[str | None]) -> np.ndarray:
         row[:256] = np.sqrt(np.bincount(np.frombuffer(data, np.uint8), minlength=256) / len(data))
         words = data.split()
         n = max(1, len(words))
-        distinct = set(words)
+        distinct = Counter(words)
         marks = [w for w in distinct if len(w) < 4 and w.isascii() and not any(48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123 for c in w)]
         odd = [w for w in distinct if len(w) > 2 and w[-1] < 128 and w[-2] < 128 and not w[-2:].isalnum() and not chr(w[-2]).isalnum()]
         shares = (
             sum(a == b for a, b in pairwise(words)) / n,
-            sum(words.count(w) for w in marks) / n,
+            sum(distinct[w] for w in marks) / n,
             len(odd) / max(1, len(distinct)),
             sum(len(w) > 2 and w.isupper() for w in distinct) / max(1, len(distinct)),
         )
@@ -121,13 +125,35 @@ def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
 Rows = tuple[np.ndarray, np.ndarray]  # features, and the fold of each row
 
 
-def fit(positive: Rows, unlabelled: Rows, known: Rows, quality: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-2) -> Model:
+def class_prior(positive: Rows, unlabelled: Rows, steps: int = 100, rate: float = 0.05, decay: float = 1e-2, least: int = 20) -> float:
+    """Share of positives among the unlabelled rows, from margins of scorers that haven't seen the rows (two halves)."""
+    (p, p_fold), (u, u_fold) = positive, unlabelled
+    if len(p) < least or len(u) < least:
+        return 0.5
+    zp, zu = np.zeros(len(p)), np.zeros(len(u))
+    for half in (0, 1):
+        own_p, own_u = p_fold % 2 != half, u_fold % 2 != half
+        if not own_p.any() or not own_u.any():
+            return 0.5
+        scorer = minimise(p[own_p], u[own_u], 0.5, steps, rate, decay)
+        zp[~own_p], zu[~own_u] = scorer.margin(p[~own_p]), scorer.margin(u[~own_u])
+    zp, zu = np.sort(zp), np.sort(zu)
+    share_p = 1 - np.arange(len(zp)) / len(zp)
+    share_u = 1 - np.searchsorted(zu, zp, side="left") / len(zu)
+    doubt = np.sqrt(np.log(40) / 2 / len(zp)) + np.sqrt(np.log(40) / 2 / len(zu))
+    best = int(np.argmin((share_u + doubt) / share_p))
+    return float(np.clip(share_u[best] / share_p[best], 0.02, 0.98))
+
+
+def fit(positive: Rows, unlabelled: Rows, known: Rows, quality: np.ndarray, prior: float | None = None, steps: int = 300, rate: float = 0.05, decay: float = 1e-2) -> Model:
     """nnPU risk minimisation, then calibration on ``known`` rows of either label.
 
     A known row's margin for calibration comes from a scorer that has not seen the rows of its fold, so that few training
     rows, which a scorer fits too well, don't move the scores of new ones.
     """
     (p, p_fold), (u, u_fold), (k, k_fold) = positive, unlabelled, known
+    if prior is None:
+        prior = class_prior(positive, unlabelled)
     if not len(p) or not len(u):
         logit = float(np.log(prior / (1 - prior)))
         return Model(np.zeros(WIDTH + 1), np.zeros(WIDTH), np.ones(WIDTH), 0.0, logit, prior)
@@ -177,8 +203,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Model:
     """Fit on training documents only (crc32 of the id modulo 5 is not 0)."""
     order = lambda df: df.orderBy(F.xxhash64("id"), "id").limit(sample)
     marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y")).filter(~held_out("id") & F.col("y").isin(0, 1)).groupBy("id").agg(F.min("y").alias("y"))
-    counts = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
-    prior = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     positive = {r["id"] for r in order(marked.filter("y = 1")).collect()}
     known = {r["id"]: r["y"] for y in (0, 1) for r in order(marked.filter(f"y = {y}")).limit(sample // 2).collect()}
     unlabelled = {r["id"] for r in order(docs.select(F.col("doc_id").cast("long").alias("id")).filter(~held_out("id"))).collect()}
@@ -191,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Model:
         return np.array([x[i] for i in own]).reshape(-1, WIDTH), np.array([zlib.crc32(f"fold {i}".encode()) % FOLDS for i in own], np.int64)
 
     y = np.array([known[i] for i in sorted(known) if i in x])
-    return fit(pick(positive), pick(unlabelled), pick(known), y, prior)
+    return fit(pick(positive), pick(unlabelled), pick(known), y)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

@@ -14,10 +14,15 @@ A logistic fit turns outputs into probabilities.  The threshold is the highest t
 positives held back from training.  Candidates above it that overlap no base finding are added as kind ``cnn``; findings
 of the base rules are always kept.
 
-Training reads at most ``sample`` documents with a candidate, by hash of the id; the scan reads every whole text.
+Training reads a bounded sample, and only that: at most ``sample`` documents with a candidate, by hash of the id; of each at
+most ``per_doc`` findings and ``per_doc`` other candidates, by hash of id and place; one plain context of ``context``
+characters, at a place by hash; of all these at most ``most`` findings, moved findings and others each, by the same hash, and
+``made_up`` invented ones of either kind.  All of them are parameters.  The scan reads every whole text.
 
 Defined cases: a null text is the empty text; without a candidate there are no spans and the digest of the empty
-string; repeated rows are scanned each; with no finding to learn from, made-up ones alone are used.
+string; repeated rows are scanned each; with no finding to learn from, made-up ones alone are used; an empty table gives an
+empty result; very long texts are scanned whole, their candidates in blocks of 1,024; columns other than doc_id and text
+are not looked at.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,33 +183,48 @@ def _made_up(rng: np.random.Generator, n: int, contexts: list[str]) -> tuple[lis
     return [placed(secret[k % len(secret)]()) for k in range(n)], [placed(harmless[k % len(harmless)]()) for k in range(n)]
 
 
-def train(docs: DataFrame, sample: int = 2000, recall: float = 0.98, made_up: int = 700, seed: int = 11) -> Net:
-    """Labelled windows of a bounded sample of documents with candidates, then :func:`fit`."""
+def _draw(place: str) -> int:
+    return xxhash.xxh3_64_intdigest(place) >> 1
+
+
+def labelled(docs: DataFrame, sample: int, per_doc: int, context: int) -> list[tuple[int, int, str, str]]:
+    """(draw, y, window, token) of the sample in the order of their draws: y 1 findings, 0 other candidates, 2 plain contexts."""
 
     def run(batches):
         for batch in slices(batches, 256):
-            for text in batch.column(1).to_pylist():
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""
                 base, dropped = base_spans(text)
-                other = [x for x in other_candidates(text, base) if not DOUBTFUL.match(text, x[0], x[2])]
-                rows = [(1, window(text, s, e), text[s:e][:INNER]) for s, _, e in base[:4]] + [(0, window(text, s, e), "") for s, _, e in (dropped + other)[:4]]
-                rows.append((2, text[:400], ""))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))], names=["y", "w", "token"])
+                other = dropped + [x for x in other_candidates(text, base) if not DOUBTFUL.match(text, x[0], x[2])]
+                rows = []
+                for y, spans in ((1, base), (0, other)):
+                    drawn = sorted((_draw(f"{doc}:{s}:{k}"), s, e) for s, k, e in spans)[:per_doc]
+                    rows += [(h, y, window(text, s, e), text[s:e][:INNER] if y else "") for h, s, e in drawn]
+                h = _draw(f"{doc}")
+                at = h % max(1, len(text) - context + 1)
+                rows.append((h, 2, text[at : at + context], ""))
+                kinds = (pa.int64(), pa.int32(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["h", "y", "w", "token"])
 
     hint = r"[A-Za-z0-9+/_=-]{16,}|AKIA|(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]"
     some = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter(F.col("text").rlike(hint)).select("id").orderBy(F.xxhash64("id"), "id").limit(sample)
     wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(some), "id", "left_semi")
-    found = sorted((r["y"], r["w"], r["token"]) for r in wanted.mapInArrow(run, "y int, w string, token string").collect())
+    return sorted(tuple(r) for r in wanted.mapInArrow(run, "h long, y int, w string, token string").collect())
+
+
+def train(docs: DataFrame, sample: int = 2000, recall: float = 0.98, made_up: int = 700, seed: int = 11, per_doc: int = 4, context: int = 400, most: int = 1400) -> Net:
+    """Labelled windows of a bounded sample of documents with candidates, then :func:`fit`."""
+    found = labelled(docs, sample, per_doc, context)
     rng = np.random.default_rng(seed)
-    contexts = [w for y, w, _ in found if y == 2] or ["plain words of a text without anything to hide in it, at all"]
-    positive, negative = [w for y, w, _ in found if y == 1], [w for y, w, _ in found if y == 0]
+    contexts = [w for _, y, w, _ in found if y == 2] or ["plain words of a text without anything to hide in it, at all"]
+    positive, negative = ([w for _, y, w, _ in found if y == wanted][:most] for wanted in (1, 0))
     moved = []
-    for _, _, token in (r for r in found if r[0] == 1):
+    for token in [t for _, y, _, t in found if y == 1][:most]:
         text = contexts[rng.integers(len(contexts))]
         at = text.find(" ", rng.integers(max(1, len(text)))) + 1
         moved.append(window(f"{text[:at]}{token} {text[at:]}", at, at + len(token)))
     good, bad = _made_up(rng, made_up, contexts)
-    positive, negative = positive[: 2 * made_up] + moved[:made_up] + good, negative[: 2 * made_up] + bad
+    positive, negative = positive + moved + good, negative + bad
     return fit(encode(positive + negative), np.r_[np.ones(len(positive)), np.zeros(len(negative))], recall, seed)
 
 
