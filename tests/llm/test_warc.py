@@ -39,12 +39,12 @@ def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
-RECORDS = warc.RECORD
+RECORDS = "page_id long, record_type string, refers_to long, origin string, segment int, total long, declared string, block binary"
 
 
 def segments(parts, total, numbers=None):
     numbers = numbers or range(1, len(parts) + 1)
-    return [("r", "r", k, total if k == len(parts) else None, "response" if k == 1 else "continuation", 7 if k == 1 else None, None, None, p) for k, p in zip(numbers, parts, strict=True)]
+    return [(7 if k == 1 else None, "response" if k == 1 else "continuation", None, "r", k, total if k == len(parts) else None, None, p) for k, p in zip(numbers, parts, strict=True)]
 
 
 @pytest.mark.parametrize(
@@ -56,19 +56,53 @@ def segments(parts, total, numbers=None):
         (lambda s: [*s, s[1]], "broken"),
         (lambda s: s[:2], "broken"),
         (lambda s: s[1:], "broken"),
-        (lambda s: [s[0], (*s[1][:8], s[1][8][:-1]), s[2]], "broken"),
+        (lambda s: [s[0], (*s[1][:7], s[1][7][:-1]), s[2]], "broken"),
     ],
 )
 def test_segments(spark, change, status):
     block = warc.http_block(b"hello payload of some bytes", 27)
     rows = change(segments([block[:20], block[20:50], block[50:]], len(block)))
     found = spark.createDataFrame(rows, RECORDS)
-    joined = warc.reassemble(found).collect()
-    assert len(joined) == 1
+    read = warc.reassemble(found).collect()
+    assert [r["status"] for r in read] == [status]
     if status == "mismatch":
-        assert bytes(joined[0]["block"]) == block and joined[0]["fits"]
+        assert (read[0]["page_id"], read[0]["payload_bytes"], read[0]["payload_digest"]) == (7, 27, hashlib.sha256(b"hello payload of some bytes").hexdigest())
     else:
-        assert not joined[0]["fits"]
+        assert read[0]["payload_bytes"] is None and read[0]["payload_digest"] is None
+
+
+def test_foreign_and_cut_archives(spark, tmp_path):
+    import gzip
+
+    good = list(warc.page_records(1, "u", b"payload one", None, hashlib.sha256(b"payload one").hexdigest(), 1 << 20))
+    info = warc.record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<x>")], b"software: other")
+    odd = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<y>"), ("X-Page-Id", "seven")], b"HTTP/1.1 200 OK\r\n\r\nabc")
+    bare = warc.record([("WARC-Type", "response")], b"HTTP/1.1 200 OK\r\n\r\nabc")
+    files = {
+        "whole": [gzip.compress(x) for x in (info, *good, odd, bare)],
+        "cut": [gzip.compress(good[0]), gzip.compress(good[0])[:-20]],
+        "text": [b"this is no gzip file"],
+        "other": [gzip.compress(b"HTTP/1.1 200 OK\r\n")],
+    }
+    uris = []
+    for name, parts in files.items():
+        (tmp_path / name).write_bytes(b"".join(parts))
+        uris.append((f"file://{tmp_path}/{name}",))
+    got = warc.read_pages(spark.createDataFrame(uris, "uri string")).collect()
+    assert sorted((r["status"], r["page_id"]) for r in got if r["page_id"]) == [("ok", 1), ("ok", 1)]
+    assert sorted(r["status"] for r in got if not r["page_id"]) == ["broken", "mismatch", "unreadable", "unreadable", "unreadable"]
+
+
+def test_a_page_of_many_segments_takes_linear_time(spark):
+    import time
+
+    body = bytes(range(256)) * 65536  # 16 MB
+    block = warc.http_block(body, len(body))
+    size = 4096
+    rows = [(7, "response", None, k + 1, len(block), hashlib.sha256(body).hexdigest(), block[k * size : (k + 1) * size]) for k in range(-(-len(block) // size))]
+    began = time.perf_counter()
+    assert warc.joined(rows)[3] == len(body)
+    assert time.perf_counter() - began < 5
 
 
 def test_chunked_framing():

@@ -5,13 +5,19 @@ longer than ``segment_bytes`` is cut into a first segment and continuation recor
 the last one carries the total length.  Of pages with equal payloads of at least ``min_revisit_bytes``, the one with the
 smallest page id is stored and the others become revisit records without a body.
 
-Reading: files are parsed record by record; whole records are decoded where they are, segments are grouped by their
-origin identifier, ordered by segment number, checked against the total length, and only then decoded.  A record whose
-segments are missing, repeated or of the wrong total gets status ``broken`` and null payload figures.
+Reading: every file is parsed once.  Whole records are decoded where they are and leave only their figures behind; segments
+are set aside in a table, dealt by their origin identifier and sorted by segment number, so a task joins the segments of one
+record at a time, in time proportional to its length, checks them against the total length, and only then decodes them.
+
+Status of a page read back: ``ok``; ``mismatch`` (no digest is declared, or another one); ``broken`` (segments missing, repeated or
+of the wrong total, a bad chunk frame or number: null payload figures).  A file that ends early, isn't gzip or holds no WARC
+record at some place gives the records before that place and one row with nothing but the status ``unreadable``.  Records
+of other types than response, revisit and continuation are passed over.
 
 Defined cases: a null page has an empty payload; a null url becomes ``urn:page:<id>``; a null page id is written without
 its header and read back as null; rows that share both the smallest page id and the payload are all responses; an
-empty table gives no file and no row.
+empty table gives no file and no row; a very long page is held once in a task; columns other than page_id, url and html are
+not looked at.
 """
 
 from __future__ import annotations
@@ -19,20 +25,24 @@ from __future__ import annotations
 import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velith.llm import blobs
 from velith.llm.common import materialise, scratch_path, slices
+from velith.operators.sizes import bounded
 
 CRLF = b"\r\n"
 WHEN = "2024-01-01T00:00:00Z"
-RECORD = "record_id string, origin string, segment int, total long, kind string, page_id long, refers_to long, declared string, block binary"
 PAGE = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, status string"
+SEGMENT = "origin string, segment int, total long, declared string, block binary"
+#: Digests of repeated payloads up to which they are sent to all executors; beyond that the join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def chunked(body: bytes, size: int = 8192) -> bytes:
@@ -101,9 +111,12 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to
 def revisits(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
     """pages with payload, digest and refers_to (the smallest page id of equal payloads, null on a response)."""
     body = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    groups = body.filter(F.length("payload") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    joined = body.join(groups, "digest", "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(F.col("first") < F.coalesce("page_id", F.lit(None)), F.col("first")).alias("refers_to"))
+    large = F.length("payload") >= min_revisit_bytes
+    groups = body.filter(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    found = body.filter(large).join(bounded(materialise(groups, "repeated-payloads"), BROADCAST_ROWS), "digest", "left")
+    revisit = F.when(F.col("first") < F.col("page_id"), F.col("first"))
+    small = body.filter(~large).withColumn("refers_to", F.lit(None).cast("long"))
+    return found.withColumn("refers_to", revisit).select(*small.columns).union(small).select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 100, segment_bytes: int = 16384, file_bytes: int = 64 << 20, level: int = 1) -> DataFrame:
@@ -151,14 +164,51 @@ def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-def read_records(manifest: DataFrame) -> DataFrame:
-    """Every record of the files; see RECORD."""
+def decoded(page_id: int | None, kind: str, refers_to: int | None, declared: str | None, block: bytes) -> tuple:
+    """A PAGE row of one whole block."""
+    try:
+        if kind == "revisit":
+            _, headers = payload_of(block)
+            return page_id, kind, refers_to, int(headers[b"content-length"]), declared, "ok"
+        payload, _ = payload_of(block)
+    except (ValueError, KeyError):
+        return page_id, kind, refers_to, None, None, "broken"
+    digest = hashlib.sha256(payload).hexdigest()
+    return page_id, kind, None, len(payload), digest, "ok" if digest == declared else "mismatch"
+
+
+def _number(headers: dict[str, str], name: str) -> int | None:
+    return int(headers[name]) if name in headers else None
+
+
+def file_rows(stream) -> Iterator[tuple]:
+    """PAGE and SEGMENT columns of each record of an archive, those of the other kind null."""
+    none = (None,) * 5
+    try:
+        with gzip.GzipFile(fileobj=stream) as plain:
+            for h, block in parse(plain):
+                kind = h.get("warc-type")
+                if kind not in ("response", "revisit", "continuation"):
+                    continue
+                declared = h.get("warc-payload-digest")
+                declared = declared and declared.removeprefix("sha256:")
+                try:
+                    page_id, refers_to, segment, total = (_number(h, n) for n in ("x-page-id", "x-refers-to-page", "warc-segment-number", "warc-segment-total-length"))
+                except ValueError:
+                    yield None, kind, None, None, None, "broken", *none
+                    continue
+                if segment is None and kind != "continuation":
+                    yield *decoded(page_id, kind, refers_to, declared, block), *none
+                else:
+                    yield page_id, kind, refers_to, None, None, None, h.get("warc-segment-origin-id", h.get("warc-record-id")), segment or 0, total, declared, block
+    except (ValueError, KeyError, EOFError, OSError, UnicodeDecodeError, zlib.error):
+        yield None, None, None, None, None, "unreadable", *none
 
-    def number(text: str | None) -> int | None:
-        return int(text) if text is not None else None
 
-    names = [f.split()[0] for f in RECORD.split(", ")]
-    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+def read_records(manifest: DataFrame) -> DataFrame:
+    """The rows of all files (see :func:`file_rows`), written: pages that were whole and segments that aren't."""
+    names = [f.split()[0] for f in f"{PAGE}, {SEGMENT}".split(", ")]
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary())
 
     def pack(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
@@ -166,59 +216,62 @@ def read_records(manifest: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                with blobs.open_stream(uri) as raw, gzip.GzipFile(fileobj=raw) as stream:
+                with blobs.open_stream(uri) as raw:
                     rows, size = [], 0
-                    for h, block in parse(stream):
-                        own, digest = h["warc-record-id"], h.get("warc-payload-digest")
-                        rows.append((own, h.get("warc-segment-origin-id", own), number(h.get("warc-segment-number")), number(h.get("warc-segment-total-length")), h["warc-type"], number(h.get("x-page-id")), number(h.get("x-refers-to-page")), digest and digest.removeprefix("sha256:"), block))
-                        size += len(block)
+                    for row in file_rows(raw):
+                        rows.append(row)
+                        size += 200 + len(row[-1] or b"")
                         if size > 4 << 20:
                             yield pack(rows)
                             rows, size = [], 0
                     if rows:
                         yield pack(rows)
 
-    return manifest.select("uri").repartition(max(1, manifest.count()), "uri").mapInArrow(run, RECORD)
+    return materialise(manifest.select("uri").repartition(max(1, manifest.count()), "uri").mapInArrow(run, f"{PAGE}, {SEGMENT}"), "warc-records")
 
 
-def reassemble(records: DataFrame) -> DataFrame:
-    """One row per original record: segments joined in order, with their claimed total and whether they fit it."""
-    whole = records.filter("segment is null").select("kind", "page_id", "refers_to", "declared", "block", F.lit(True).alias("fits"))
-    parts = records.filter("segment is not null").groupBy("origin").agg(
-        F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"),
-        *(F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("kind", "page_id", "refers_to", "declared")),
-        F.max("total").alias("total"),
-    )
-    block: Column = F.aggregate("parts", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["block"]))
-    numbers = F.transform("parts", lambda x: x["segment"])
-    in_order = numbers == F.sequence(F.lit(1), F.size("parts"))
-    joined = parts.withColumn("block", block).withColumn("fits", F.coalesce(in_order & (F.length("block") == F.col("total")), F.lit(False)))
-    return whole.unionByName(joined.select(*whole.columns))
+def joined(segments: list[tuple]) -> tuple:
+    """A PAGE row of the segments (page_id, kind, refers_to, segment, total, declared, block) of one record, in order."""
+    page_id, kind, refers_to, _, _, declared, _ = segments[0]
+    numbers = [s[3] for s in segments]
+    block = b"".join(s[6] for s in segments)
+    if numbers != list(range(1, len(numbers) + 1)) or segments[-1][4] != len(block):
+        first = segments[0] if numbers[0] == 1 else (None, None, None)
+        return first[0], first[1], first[2], None, None, "broken"
+    return decoded(page_id, kind, refers_to, declared, block)
 
 
-def read_pages(manifest: DataFrame) -> DataFrame:
-    """One row per page from the archives; see PAGE."""
+def reassemble(segments: DataFrame) -> DataFrame:
+    """A PAGE row of each record whose segments (page_id, record_type, refers_to and SEGMENT) are there."""
     names = [f.split()[0] for f in PAGE.split(", ")]
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
-    def one(kind, page_id, refers_to, declared, block, fits):
-        if not fits:
-            return page_id, kind, refers_to, None, None, "broken"
-        try:
-            payload, headers = payload_of(block)
-        except ValueError:
-            return page_id, kind, refers_to, None, None, "broken"
-        if kind == "revisit":
-            return page_id, kind, refers_to, int(headers[b"content-length"]), declared, "ok"
-        digest = hashlib.sha256(payload).hexdigest()
-        return page_id, kind, None, len(payload), digest, "ok" if digest == declared else "mismatch"
-
     def run(batches):
-        for batch in slices(batches, 256):
-            rows = [one(*r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+        held: list[tuple] = []
+        last, out = None, []
+        for batch in slices(batches, 64):
+            for origin, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and origin != last:
+                    out.append(joined(held))
+                    held = []
+                last = origin
+                held.append(tuple(row))
+            if len(out) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
+                out = []
+        if held:
+            out.append(joined(held))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
+
+    parts = segments.select("origin", "page_id", "record_type", "refers_to", "segment", "total", "declared", "block")
+    return parts.repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(run, PAGE)
 
-    return reassemble(read_records(manifest)).mapInArrow(run, PAGE)
+
+def read_pages(manifest: DataFrame) -> DataFrame:
+    """One row per page from the archives; see PAGE."""
+    records = read_records(manifest)
+    whole = records.filter("segment is null").select(*(f.split()[0] for f in PAGE.split(", ")))
+    return whole.union(reassemble(records.filter("segment is not null")))
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
