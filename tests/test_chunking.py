@@ -138,3 +138,18 @@ def test_extra_columns_do_not_clash(pages):
     odd = pages.withColumn("n", F.lit(1)).withColumn("chunk_index", F.lit("x")).withColumn("s", F.lit(2)).withColumn("w", F.lit(3))
     assert c.sentence_chunks(odd, 20).count() == c.sentence_chunks(pages, 20).count()
     assert c.fixed_chunks(odd, 20, 2).count() == c.fixed_chunks(pages, 20, 2).count()
+
+
+def test_budget_in_tokens_of_a_tokenizer_file(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from velith.sources.models import token_counter
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    docs = spark.createDataFrame([(1, " ".join(f"Unbelievably long-winded sentence number {k} stands here." for k in range(30))), (2, None)], "doc_id int, text string")
+    found = c.sentence_chunks(c.as_pages(docs), 40, 0, token_counter(path)).collect()
+    assert len(found) > 5 and all(r["token_count"] == size(r["text"]) for r in found)
+    assert all(sum(size(s) for s in r["text"].split(". ")) <= 44 for r in found)

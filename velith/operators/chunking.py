@@ -23,6 +23,8 @@ from velith.functions.vectors import distance
 
 CHUNK = ["doc_id", "strategy", "chunk_index", "chunk_id", "text", "token_count", "page_start", "page_end", "section"]
 Encoder = Callable[[Column], Column]
+#: Tokens of a text; ``sources.models.token_counter`` counts those of a tokenizer file, the default counts at white space.
+Counter = Callable[[Column], Column]
 
 
 def as_pages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -36,7 +38,7 @@ def carry_sections(pages: DataFrame) -> DataFrame:
     return pages.withColumn("section", F.last(F.when(F.col("section") != "", F.col("section")), ignorenulls=True).over(order))
 
 
-def pages_to_sentences(pages: DataFrame) -> DataFrame:
+def pages_to_sentences(pages: DataFrame, count: Counter = count_tokens) -> DataFrame:
     """(doc_id, ix, text, page, section, n): sentences with their page, section and token count.
 
     A page starts in its own section if it has one; a sentence whose first line is a heading starts that section.  Pages are
@@ -48,14 +50,14 @@ def pages_to_sentences(pages: DataFrame) -> DataFrame:
     heading = F.when(F.col("sentence").rlike(lx.HEADING_START), detect_section(first_line("sentence")))
     start = F.when((F.col("pos") == 0) & (F.col("section") != ""), F.col("section"))
     order = Window.partitionBy("doc_id").orderBy("place", "pos")
-    rows = one.select("doc_id", "page_number", "place", "pos", F.col("sentence").alias("text"), F.coalesce(heading, start).alias("event"))
+    rows = one.select("doc_id", "page_number", "place", "pos", F.col("sentence").alias("text"), F.coalesce(heading, start).alias("event"), count(F.col("sentence")).alias("n"))
     return rows.select(
         "doc_id",
         (F.row_number().over(order) - 1).alias("ix"),
         "text",
         F.col("page_number").alias("page"),
         F.last("event", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("section"),
-        count_tokens("text").alias("n"),
+        "n",
     )
 
 
@@ -83,7 +85,7 @@ def fixed_chunks(pages: DataFrame, size: int = lx.FIXED_TOKENS, overlap: int = l
     return stamped(out, "fixed")
 
 
-def _packed(pieces: DataFrame, ranges: Column, strategy: str) -> DataFrame:
+def _packed(pieces: DataFrame, ranges: Column, strategy: str, count: Counter = count_tokens) -> DataFrame:
     """Chunks from documents (doc_id, s: sorted pieces) and an expression for their (from, to) ranges."""
     each = pieces.select("doc_id", "s", F.posexplode(ranges).alias("chunk_index", "r"))
     own = each.select("doc_id", "chunk_index", F.slice("s", F.col("r.from") + 1, F.col("r.to") - F.col("r.from")).alias("s"))
@@ -91,7 +93,7 @@ def _packed(pieces: DataFrame, ranges: Column, strategy: str) -> DataFrame:
     pages = F.transform("s", lambda x: x["page"])
     section = F.get(F.filter(F.transform("s", lambda x: x["section"]), lambda v: v.isNotNull()), F.lit(0))
     out = own.select("doc_id", "chunk_index", text.alias("text"), F.array_min(pages).alias("page_start"), F.array_max(pages).alias("page_end"), section.alias("section"))
-    return stamped(out.withColumn("token_count", count_tokens("text")), strategy)
+    return stamped(out.withColumn("token_count", count(F.col("text"))), strategy)
 
 
 def sentence_ranges(counts: Column, budget: int, overlap: int) -> Column:
@@ -124,10 +126,10 @@ def _documents(pieces: DataFrame, *more: str) -> DataFrame:
     return pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
 
 
-def sentence_chunks(pages: DataFrame, budget: int = lx.SENTENCE_TOKENS, overlap: int = lx.SENTENCE_OVERLAP) -> DataFrame:
+def sentence_chunks(pages: DataFrame, budget: int = lx.SENTENCE_TOKENS, overlap: int = lx.SENTENCE_OVERLAP, count: Counter = count_tokens) -> DataFrame:
     """Whole sentences packed greedily up to a budget of tokens."""
-    docs = _documents(pages_to_sentences(pages)).withColumn("counts", F.transform("s", lambda x: x["n"]))
-    return _packed(docs, sentence_ranges(F.col("counts"), budget, overlap), "sentence")
+    docs = _documents(pages_to_sentences(pages, count)).withColumn("counts", F.transform("s", lambda x: x["n"]))
+    return _packed(docs, sentence_ranges(F.col("counts"), budget, overlap), "sentence", count)
 
 
 def semantic_ranges(items: Column, budget: int, least: int, threshold: Column) -> Column:
@@ -153,13 +155,13 @@ def with_distances(pieces: DataFrame, encoder: Encoder) -> DataFrame:
     return pieces.withColumn("v", encoder(F.col("text"))).withColumn("before", F.lag("v").over(order)).withColumn("d", F.when(F.col("before").isNotNull(), F.round(distance("before", "v"), 9))).drop("v", "before")
 
 
-def semantic_chunks(pages: DataFrame, encoder: Encoder, budget: int = lx.SEMANTIC_TOKENS, percentile: float = lx.SEMANTIC_PERCENTILE, least: int = lx.SEMANTIC_SENTENCES) -> DataFrame:
+def semantic_chunks(pages: DataFrame, encoder: Encoder, budget: int = lx.SEMANTIC_TOKENS, percentile: float = lx.SEMANTIC_PERCENTILE, least: int = lx.SEMANTIC_SENTENCES, count: Counter = count_tokens) -> DataFrame:
     """Sentences packed until the distance to the next is at or over the document's percentile of distances."""
-    far = with_distances(pages_to_sentences(pages), encoder)
+    far = with_distances(pages_to_sentences(pages, count), encoder)
     item = F.struct("ix", "text", "page", "section", "n", "d")
     docs = far.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("s"), F.round(F.percentile("d", percentile), 9).alias("threshold"))
     docs = docs.withColumn("items", F.transform("s", lambda x, i: F.struct(i.alias("i"), x["n"].alias("n"), x["d"].alias("d"))))
-    return _packed(docs, semantic_ranges(F.col("items"), budget, least, F.col("threshold")), "semantic")
+    return _packed(docs, semantic_ranges(F.col("items"), budget, least, F.col("threshold")), "semantic", count)
 
 
 def letter_encoder(text: Column) -> Column:

@@ -73,7 +73,7 @@ def op_context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of the built-in stand-in model, citations checked; no SQL, tested on a fixture."""
+    """Answers of the built-in stand-in model, citations checked."""
     docs = i.table(spark, sf_dir, "documents")
     chunks = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("doc_id").cast("string").alias("doc_id"), F.lit(None).cast("string").alias("section"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), "text")
     results = single(r.sparse_list(spark, sf_dir), "item_id", "sparse")
@@ -95,6 +95,14 @@ def op_json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SAID = "SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN text || ' I DON''T know.' WHEN 1 THEN 'Das kann ich nicht beantworten: ' || text ELSE text END AS said FROM conversations"
 CUT = r"regexp_replace(left(text, {n}), '(?s) [^ ]*$', '') || ' […]'"
+#: Tables up to f: the five best documents of each item, of which ``kept`` is what fits the budget.
+KEPT = f"""WITH RECURSIVE {r.SPARSE}, x AS (SELECT item_id, rank, text FROM s JOIN documents ON doc_id = id WHERE rank <= 5),
+        f AS (SELECT DISTINCT item_id, 0 AS rank, 0::BIGINT AS used, false AS over, NULL::VARCHAR AS kept FROM x
+            UNION ALL SELECT item_id, rank, CASE WHEN ended THEN used ELSE used + length(piece) END, ended, CASE WHEN ended THEN NULL ELSE piece END FROM
+            (SELECT x.item_id, x.rank, f.used, CASE WHEN length(text) <= 8000 - used THEN text ELSE {CUT.format(n='CAST(8000 - used AS BIGINT)')} END AS piece, over OR (length(text) > 8000 - used AND 8000 - used < 200) AS ended FROM f JOIN x ON x.item_id = f.item_id AND x.rank = f.rank + 1))"""
+FIRST = i.q(rf"(?s)^(.*?[.!?]){lx.WS}")
+LANGUAGE = f"""(SELECT CASE WHEN g > e OR (g = e AND regexp_matches(p, '[äöüß§]')) THEN 'German' ELSE 'English' END FROM (SELECT p, len(list_filter({i.sql_list(lx.GERMAN_MARKERS)}, lambda m: contains(p, m))) AS g,
+    len(list_filter({i.sql_list(lx.ENGLISH_MARKERS)}, lambda m: contains(p, m))) AS e FROM (SELECT ' ' || lower({{text}}) || ' ' AS p)))"""
 
 SQL = {
     "op_expand_query": f"""SELECT conv_id, turn, coalesce(array_to_string({r.expansion_sql('text')}, chr(31)), '') AS variants
@@ -111,10 +119,14 @@ SQL = {
     "op_payload_preview": "SELECT doc_id, CASE WHEN length(text) > 300 THEN left(text, 300) || '…' ELSE text END AS preview FROM documents",
     "op_citation_string": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN p_size % 4 = 0 THEN p_brand ELSE p_name END || CASE WHEN p_size % 3 <> 0 THEN ', § ' || p_size ELSE '' END
         || CASE WHEN l_suppkey % 3 <> 0 AND l_suppkey % 2 = 1 THEN ', pp. ' || l_linenumber || '-' || (l_linenumber + 1) ELSE ', p. ' || l_linenumber END AS citation FROM lineitem JOIN part ON l_partkey = p_partkey""",
-    "op_context_budget": f"""WITH RECURSIVE {r.SPARSE}, x AS (SELECT item_id, rank, text FROM s JOIN documents ON doc_id = id WHERE rank <= 5),
-        f AS (SELECT DISTINCT item_id, 0 AS rank, 0::BIGINT AS used, false AS over, NULL::VARCHAR AS kept FROM x
-            UNION ALL SELECT item_id, rank, CASE WHEN ended THEN used ELSE used + length(piece) END, ended, CASE WHEN ended THEN NULL ELSE piece END FROM
-            (SELECT x.item_id, x.rank, f.used, CASE WHEN length(text) <= 8000 - used THEN text ELSE {CUT.format(n='CAST(8000 - used AS BIGINT)')} END AS piece, over OR (length(text) > 8000 - used AND 8000 - used < 200) AS ended FROM f JOIN x ON x.item_id = f.item_id AND x.rank = f.rank + 1))
+    "op_ask": f"""{KEPT}, c AS ({r.confidence_sql('sparse').removeprefix(f'WITH {r.SPARSE}')}),
+        t AS (SELECT item_id, rank, {i.sql_strip('split_part(kept, chr(10) || chr(10), 1)')} AS t FROM f WHERE kept IS NOT NULL AND rank <= 2),
+        said AS (SELECT item_id, string_agg(CASE WHEN regexp_matches(t, {FIRST}) THEN regexp_extract(t, {FIRST}, 1) ELSE t END || ' [' || rank || ']', ' ' ORDER BY rank) AS said FROM t GROUP BY item_id),
+        g AS (SELECT b.item_id, confidence, results, results = 0 OR confidence < 0.3::DOUBLE AS gated, said, {LANGUAGE.format(text='b.text')} AS language FROM benchmark b JOIN c USING (item_id) LEFT JOIN said USING (item_id)),
+        a AS (SELECT *, CASE WHEN gated THEN CASE language WHEN 'German' THEN 'Ich weiß es nicht.' ELSE 'I don''t know.' END ELSE coalesce(said, 'I don''t know.') END AS answer FROM g)
+        SELECT item_id, answer, confidence, gated OR len(list_filter({i.sql_list(lx.REFUSALS)}, lambda m: contains(lower(answer), m))) > 0 AS refused,
+            NOT gated AND said IS NOT NULL AS cited, CAST(results AS INTEGER) AS n_sources FROM a""",
+    "op_context_budget": f"""{KEPT}
         SELECT item_id, CAST(count(kept) AS INTEGER) AS n_kept, md5(coalesce(string_agg(kept, chr(31) ORDER BY rank), '')) AS kept_md5 FROM f GROUP BY item_id""",
     "op_valid_requests": f"""SELECT conv_id, turn, CASE WHEN length(question) NOT BETWEEN 3 AND 1000 THEN 'question length' WHEN {i.sql_strip('question')} = '' THEN 'question blank' WHEN conv_id * 2 > 128 THEN 'session_id length' WHEN turn % 4 = 3 THEN 'mode' WHEN turn * 7 NOT BETWEEN 1 AND 20 THEN 'top_k' END AS error
         FROM (SELECT conv_id, turn, text AS question FROM conversations)""",

@@ -16,16 +16,22 @@ from velith.plans.catalog import inputs as i
 _built: dict[tuple, bm25.Index] = {}
 
 
+def _there(spark: SparkSession, files: list[str]) -> bool:
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(x) for x in files]
+    return all(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for p in paths)
+
+
 def _index(spark: SparkSession, sf_dir: str) -> bm25.Index:
     """The index over documents: written by the first query of a session that asks for it, read by the others.
 
-    It counts for the very files it was built from: their names, sizes and times are part of its key.
+    It counts for the very files it was built from: their names, sizes and times are part of its key.  Where its own files
+    have been cleared away it is built again.
     """
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
     found = fs.listStatus(where)
     key = (spark.sparkContext.applicationId, *sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found))
-    if key not in _built:
+    if key not in _built or not _there(spark, _built[key].postings.inputFiles()[:1]):
         _built[key] = bm25.build(i.table(spark, sf_dir, "documents"))
     return _built[key]
 

@@ -13,7 +13,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StringType
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType
 
 from velith.functions.text import split_sentences
 
@@ -43,6 +43,20 @@ def encoder(load: Callable[[], Callable[[list[str]], np.ndarray]] | None = None,
     return encode
 
 
+def token_counter(path: str) -> Callable[[Column], Column]:
+    """A column function text -> number of tokens by a tokenizer file (the tokenizers library's JSON), loaded once a worker and task."""
+
+    @F.pandas_udf(IntegerType())
+    def count(batches: Texts) -> Texts:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        for texts in batches:
+            yield pd.Series([len(x.ids) for x in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)], dtype="int32")
+
+    return count
+
+
 def first_sentences(prompt: str) -> str:
     """Stand-in for a language model: the first sentence of each of the first two sources in the prompt, cited."""
     sources = re.findall(r"^\[(\d+)\] .*?\n(.*?)(?=\n\n|\Z)", prompt, re.MULTILINE | re.DOTALL)[:2]
