@@ -63,6 +63,35 @@ def test_stages(spark):
     assert sorted(map(repr, cp.run(spark, FOLDER).collect())) == sorted(map(repr, last))
 
 
+def test_quality_stage_drops_bad_documents_and_keeps_good_ones(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    kept = {r["doc_id"] for r in cp.stage_quality(spark, docs, folder).select("doc_id").collect()}
+    good, bad = ({i for i, y in labels.items() if y == wanted} for wanted in (1, 0))
+    assert len(bad) > 20 and len(bad & kept) <= 0.1 * len(bad) and len(good - kept) <= 0.02 * len(good)
+
+
+@pytest.mark.parametrize("name", [name for name, _ in cp.STAGES])
+def test_stage_on_odd_rows_and_on_none(spark, documents, name):
+    """Null and empty texts, null and repeated ids, ties and one long text, with columns of clashing names."""
+    stage = dict(cp.STAGES)[name]
+    long = "\n".join(f"line {k} of a text that goes on and on" for k in range(4000))
+    docs = documents([(1, None), (2, ""), (3, " \n "), (None, "no id here"), (4, "the same words twice over"), (4, "the same words twice over"), (5, long), (6, "the same words twice over")])
+    out = stage(spark, docs, FOLDER)
+    rows = out.collect()
+    if name == "encode":
+        assert len(rows) == 8 and {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2)} == {2} and all(r["aligned"] for r in rows)
+    else:
+        assert out.columns == docs.columns
+        ids = [r["doc_id"] for r in rows]
+        if name != "quality":
+            assert {1, 2, 3, None, 4, 5} <= set(ids) and ids.count(4) == 2
+            assert (6 in ids) == (name != "near_dedup")
+            assert next(r["text"] for r in rows if r["doc_id"] == 5) == long
+    assert stage(spark, documents([]), FOLDER).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()

@@ -12,7 +12,7 @@ found carried along in a written table.
 Defined cases: null texts and texts without words have no words, no hits and the digest of the empty string; a
 benchmark row without words or with a null id can't be named and is ignored; repeated ids count once; rows that
 repeat a doc_id are scanned each on its own; an empty benchmark hits nothing; columns other than those named are not
-looked at.
+looked at; very long texts are probed whole, one at a time.
 """
 
 from __future__ import annotations
@@ -136,7 +136,7 @@ def _index(docs: DataFrame, text_col: str, items: list[tuple[str, str | None]],
     return context.broadcast(windows)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 2, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 2, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """Per document: its id and RESULT."""
     kind = docs.schema[id_col].dataType.simpleString()
     state = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("mask"), F.lit(None).cast("array<string>").alias("items"))
@@ -172,7 +172,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     return state
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 2, item_col: str = "item_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 2, item_col: str = "item_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """The documents, with all their columns, in which no window occurs."""
     at, state = docs.columns.index(text_col), docs
 

@@ -10,7 +10,8 @@ Documents are dealt to writers by ranges of doc_id, so shard order is id order;
 sum over the shard manifest, which has one row per shard.
 
 Defined cases: a null text is the empty text and yields the end id alone; null ids come first; rows that repeat a
-doc_id are all written, ordered by text among themselves; an empty table gives no shard and no row.
+doc_id are all written, ordered by the text's hash and the text among themselves; an empty table gives no shard and no row; a
+very long text is encoded whole, by itself; columns other than id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -167,7 +168,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_c
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(kinds)], names=["part", "seq", "uri", "n_ids", "n_docs", "bytes"])
 
-    ranged = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col, text_col)
+    # The text's hash splits rows that share an id, or have none, over as many writers as they need.
+    keyed = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).withColumn("_velith_h", F.xxhash64(text_col))
+    ranged = keyed.repartitionByRange(id_col, "_velith_h").sortWithinPartitions(id_col, "_velith_h", text_col).drop("_velith_h")
     manifest = materialise(ranged.mapInArrow(run, "part int, seq int, uri string, n_ids long, n_docs long, bytes long"), "manifest")
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard, not per document
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(order), F.lit(0).cast("long")))
