@@ -120,8 +120,8 @@ SQL = {
     "op_citation_string": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN p_size % 4 = 0 THEN p_brand ELSE p_name END || CASE WHEN p_size % 3 <> 0 THEN ', § ' || p_size ELSE '' END
         || CASE WHEN l_suppkey % 3 <> 0 AND l_suppkey % 2 = 1 THEN ', pp. ' || l_linenumber || '-' || (l_linenumber + 1) ELSE ', p. ' || l_linenumber END AS citation FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "op_ask": f"""{KEPT}, c AS ({r.confidence_sql('sparse').removeprefix(f'WITH {r.SPARSE}')}),
-        t AS (SELECT item_id, rank, {i.sql_strip('split_part(kept, chr(10) || chr(10), 1)')} AS t FROM f WHERE kept IS NOT NULL AND rank <= 2),
-        said AS (SELECT item_id, string_agg(CASE WHEN regexp_matches(t, {FIRST}) THEN regexp_extract(t, {FIRST}, 1) ELSE t END || ' [' || rank || ']', ' ' ORDER BY rank) AS said FROM t GROUP BY item_id),
+        pieces AS (SELECT item_id, rank, {i.sql_strip('split_part(kept, chr(10) || chr(10), 1)')} AS t FROM f WHERE kept IS NOT NULL AND rank <= 2),
+        said AS (SELECT item_id, string_agg(CASE WHEN regexp_matches(t, {FIRST}) THEN regexp_extract(t, {FIRST}, 1) ELSE t END || ' [' || rank || ']', ' ' ORDER BY rank) AS said FROM pieces GROUP BY item_id),
         g AS (SELECT b.item_id, confidence, results, results = 0 OR confidence < 0.3::DOUBLE AS gated, said, {LANGUAGE.format(text='b.text')} AS language FROM benchmark b JOIN c USING (item_id) LEFT JOIN said USING (item_id)),
         a AS (SELECT *, CASE WHEN gated THEN CASE language WHEN 'German' THEN 'Ich weiß es nicht.' ELSE 'I don''t know.' END ELSE coalesce(said, 'I don''t know.') END AS answer FROM g)
         SELECT item_id, answer, confidence, gated OR len(list_filter({i.sql_list(lx.REFUSALS)}, lambda m: contains(lower(answer), m))) > 0 AS refused,
