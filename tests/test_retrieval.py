@@ -126,3 +126,22 @@ def test_questions_without_hits_are_refused(spark, docs):
     assert sure[2] == (0, 0.0) and sure[1][0] > 0
     with pytest.raises(ValueError):
         retrieval.retrieve("other", "q")
+
+
+def test_bm25_steps_are_dealt_by_their_own_size(spark, docs, monkeypatch):
+    """More text makes more tasks, not larger ones, whatever the number of shuffle partitions is."""
+    monkeypatch.setattr(bm25, "TASK_TEXT", 2)
+    for made in (bm25.postings(docs), bm25.term_frequencies(docs)):
+        assert made.rdd.getNumPartitions() > 30
+    assert {r["term"]: r["df"] for r in bm25.term_frequencies(docs).collect()} == Counter(w for _, t in DOCS for w in {*(t or "").split()} - {*lexicon.STOPWORDS})
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_bm25_within_ids_that_are_too_many_to_broadcast(spark, docs, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(bm25, "bounded", lambda df: df)
+    asked = spark.createDataFrame([(1, "night work")], "q int, text string")
+    within = spark.createDataFrame([(2,), (6,), (6,), (77,)], "id long")
+    index = bm25.build(docs)
+    every = {r["id"]: r["score"] for r in bm25.search(index, asked, 9, ["q"]).collect()}
+    assert {r["id"]: r["score"] for r in bm25.search(index, asked, 9, ["q"], within=within).collect()} == {k: every[k] for k in (2, 6)}
