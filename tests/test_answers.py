@@ -124,3 +124,13 @@ def test_models(spark):
     v = one(spark, encode(F.col("x")), "leave leave pay")
     assert len(v) == 16 and sum(x * x for x in v) == pytest.approx(1, abs=1e-5)
     assert one(spark, models.overlap_judge(F.col("x"), F.lit("the leave is 24 days")), "leave is long") is True
+
+
+def test_only_texts_that_were_found_meet_the_results(spark):
+    from velith.plans import answering
+
+    chunks = spark.createDataFrame([(k, f"text {k}") for k in range(9)], "id long, text string")
+    results = spark.createDataFrame([(1, 4), (2, 4), (2, 7), (3, 77), (4, None)], "q int, id long")
+    found = answering.found_in(chunks, results)
+    assert sorted(r["id"] for r in found.collect()) == [4, 7]
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()

@@ -12,11 +12,21 @@ from velith.functions.answers import citation, excerpt, extract_citations, is_re
 from velith.operators.context import REFUSAL, system_prompt, user_prompt
 from velith.operators.fusion import with_confidence
 from velith.functions.answers import detect_language
+from velith.operators.sizes import bounded
+from velith.sources.scratch import materialise
+
+
+def found_in(chunks: DataFrame, results: DataFrame) -> DataFrame:
+    """The chunks that are among the results: their texts are neither shuffled nor sorted beside all the others.
+
+    The ids are looked at more than once; results of a search should be a written table.
+    """
+    return chunks.join(bounded(results.select("id").distinct()), "id", "left_semi")
 
 
 def sources(results: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
     """Results with their chunk's text, citation and excerpt; chunks have id, title, doc_id, section, page_start, page_end, text."""
-    own = chunks.select("id", "title", "doc_id", "section", "page_start", "page_end", "text")
+    own = found_in(chunks.select("id", "title", "doc_id", "section", "page_start", "page_end", "text"), results)
     joined = results.join(own, "id", "left")
     return joined.select(key, "rank", "id", "doc_id", "section", "text", citation("title", "doc_id", "section", "page_start", "page_end").alias("citation"), excerpt("text").alias("excerpt"), F.round("score", 6).alias("score"), "retriever")
 
@@ -29,6 +39,7 @@ def answer(questions: DataFrame, results: DataFrame, chunks: DataFrame, key: str
     told, as ``operators.context.remembered`` picks them.
     """
     item = F.struct("rank", "id", "doc_id", "section", "text", "citation", "excerpt", "score", "retriever")
+    results = materialise(results, "results")
     found = sources(results, chunks, key).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("s"))
     asked = questions.select(key, F.col(text_col).alias("question")).join(with_confidence(questions, results, key, mode), key).join(found, key, "left")
     if history is not None:

@@ -13,6 +13,7 @@ from velith.plans import answering
 from velith.plans.catalog import inputs as i
 from velith.plans.catalog import retrieval as r
 from velith.sources.models import generator
+from velith.sources.scratch import materialise
 
 
 def op_expand_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +66,8 @@ def op_citation_string(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op_context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents of each benchmark item within the prompt's budget."""
-    best = single(r.sparse_list(spark, sf_dir), "item_id", "sparse")
-    texts = best.join(i.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    best = materialise(single(r.sparse_list(spark, sf_dir), "item_id", "sparse"), "best")
+    texts = best.join(answering.found_in(i.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), best), "id")
     listed = texts.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("s"))
     kept = listed.select("item_id", within_budget(F.transform("s", lambda x: x["text"])).alias("kept"))
     return kept.select("item_id", F.size("kept").alias("n_kept"), F.md5(F.array_join("kept", "\x1f").cast("binary")).alias("kept_md5"))

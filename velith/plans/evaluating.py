@@ -63,7 +63,7 @@ def samples(questions: DataFrame, results: DataFrame, chunks: DataFrame, strateg
     known = questions.select(F.col("id").alias("question_id"), "question", "ground_truth", "expected_docs", "answerable")
     if generate is None:
         item = F.struct("rank", "doc_id", answers.excerpt("text").alias("excerpt"))
-        found = results.select("question_id", "rank", "id").join(texts, "id").groupBy("question_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
+        found = results.select("question_id", "rank", "id").join(answering.found_in(texts, results), "id").groupBy("question_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
         sure = with_confidence(asked, results, "question_id", mode)
         said = sure.join(found, "question_id", "left").select("question_id", F.lit("").alias("answer"), "confidence", answers.refused("confidence", "results", below).alias("refused"), F.lit(False).alias("cited"), "s")
     else:
