@@ -153,3 +153,21 @@ def test_file_scan_and_magic(spark, tmp_path):
     assert sorted(r["filename"] for r in found.collect()) == ["a.pdf", "b.pdf"]
     assert [r["filename"] for r in files.with_magic(found).collect()] == ["a.pdf"]
     assert files.scan(spark, str(tmp_path), limit=1).count() == 1
+
+
+def test_keys_too_many_to_broadcast_are_dealt_by_rows(spark, monkeypatch):
+    from velith.operators import store
+
+    table = spark.range(40).selectExpr("nullif(id, 39) AS id", "id AS v")
+    gone = spark.range(0, 40, 2).union(spark.range(2))
+    expected = sorted(v for v in range(40) if v == 39 or (v % 2 and v != 1))
+    assert sorted(r["v"] for r in store.without(table, gone, "id").collect()) == expected
+    monkeypatch.setattr(store, "bounded", lambda df: df)
+    monkeypatch.setattr(store, "TASK_ROWS", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = store.without(table, gone, "id")
+        assert large.rdd.getNumPartitions() == 14
+        assert sorted(r["v"] for r in large.collect()) == expected
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from velith.operators.sizes import TASK_ROWS, bounded, tasks
+
 
 def last_wins(rows: DataFrame, keys: list[str], order: str | Column) -> DataFrame:
     """One row a key: the last by ``order``."""
@@ -31,8 +33,17 @@ def replace_groups(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
 
 
 def without(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not in ``gone``."""
-    return table.join(gone.select(key), key, "left_anti").select(*table.columns)
+    """Rows whose key is not in ``gone``.
+
+    Keys too many to broadcast are dealt by the number of rows, and the table's rows follow them, so a task's sort doesn't
+    grow with the table.
+    """
+    keys = bounded(gone.select(key))
+    if "broadcast" not in keys._jdf.queryExecution().logical().toString():
+        spark = table.sparkSession
+        parts = max(tasks(spark, table.count(), TASK_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        keys = keys.repartition(parts, key)
+    return table.join(keys, key, "left_anti").select(*table.columns)
 
 
 def delete_cascade(gone: DataFrame, key: str, *tables: DataFrame) -> tuple[DataFrame, ...]:
