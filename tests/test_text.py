@@ -94,3 +94,13 @@ def test_functions_stay_in_the_jvm(spark):
     df = spark.createDataFrame([("x",)], "x string").select(text.clean_text("x"), text.split_sentences("x"), text.terms("x"), F.lit(1))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_white_space_is_named_the_same_way_everywhere():
+    """The characters that are trimmed are those that the pattern of white space fits."""
+    import re
+
+    from velith.functions import lexicon as lx
+
+    plain = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), lx.WS)
+    assert set(lx.SPACES) == {chr(c) for c in range(0x10000) if re.fullmatch(plain, chr(c))}

@@ -12,6 +12,8 @@ LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 SPACE, NOT_SPACE = r"(?U:[\s\x1c-\x1f])", r"(?U:[^\s\x1c-\x1f])"
 LINE_SPACE = r"(?U:[\s\x1f&&[^\n]])"
 ANY_LINE_END = r"\R|[\x1c-\x1e]"
+OTHER_LINE_END = r"\r\n?|[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"  # those but for \n itself
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))  # the characters of WS
 
 # Fixed values. Headings, tried in this order: label, then the heading's own words where there are any.
 SECTION_PATTERNS = (

@@ -16,7 +16,7 @@ def col(x: Column | str) -> Column:
 
 def strip(x: Column | str) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(col(x), rf"^{lx.SPACE}++|(?<!{lx.SPACE}){lx.SPACE}++\z", "")
+    return F.btrim(col(x), F.lit(lx.SPACES))
 
 
 def lines(text: Column | str) -> Column:
@@ -56,12 +56,12 @@ def _headings() -> str:
         body = pattern.replace("(?i)", "").removeprefix(f"^{lx.WS}*").removesuffix("$").replace(lx.WS, lx.LINE_SPACE)
         body = re.sub(r"\((?!\?)", "(?:", body)
         bodies.append(f"(?i:{body})" if pattern.startswith("(?i)") else body)
-    return rf"(?md)^{lx.LINE_SPACE}*+(?=.{{1,{lx.MAX_HEADING}}}?{lx.LINE_SPACE}*$)(?:{'|'.join(bodies)})$"
+    return rf"(?md)^{lx.LINE_SPACE}*+(?={lx.HEADING_START[1:]})(?=.{{1,{lx.MAX_HEADING}}}?{lx.LINE_SPACE}*$)(?:{'|'.join(bodies)})$"
 
 
 def without_noise(raw: Column | str) -> Column:
     """The text without page furniture, its lines ended by \\n: two patterns over the whole text, no list of lines."""
-    return F.regexp_replace(F.regexp_replace(col(raw), lx.ANY_LINE_END, "\n"), _furniture(), "")
+    return F.regexp_replace(F.regexp_replace(col(raw), lx.OTHER_LINE_END, "\n"), _furniture(), "")
 
 
 def first_line(text: Column | str) -> Column:
@@ -71,7 +71,7 @@ def first_line(text: Column | str) -> Column:
 
 def clean_text(raw: Column | str) -> Column:
     """Without page furniture and trailing blanks; runs of blank lines and of blanks shortened."""
-    bare = F.regexp_replace(without_noise(raw), rf"(?md)(?<!{lx.LINE_SPACE}){lx.LINE_SPACE}++$", "")
+    bare = F.regexp_replace(without_noise(raw), rf"(?md){lx.LINE_SPACE}(?<!{lx.LINE_SPACE}{{2}}){lx.LINE_SPACE}*+$", "")
     return strip(F.regexp_replace(F.regexp_replace(bare, r"\n{3,}", "\n\n"), r"[ \t]{2,}", " "))
 
 
