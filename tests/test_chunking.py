@@ -153,3 +153,22 @@ def test_budget_in_tokens_of_a_tokenizer_file(spark):
     found = c.sentence_chunks(c.as_pages(docs), 40, 0, token_counter(path)).collect()
     assert len(found) > 5 and all(r["token_count"] == size(r["text"]) for r in found)
     assert all(sum(size(s) for s in r["text"].split(". ")) <= 44 for r in found)
+
+
+def test_letters_are_counted_in_batches_as_the_patterns_do(spark):
+    """No list of matches is built for a text, whose every letter would be one; the counts are those of the patterns."""
+    import re
+
+    texts = ["Aé bcd 1, zz ÄÖ  Q9", "", None, "　ß🙂x", "aeiou" * 300, "B C"]
+    groups = ["[aeiou]", "[bcdfg]", "[hjklm]", "[npqrs]", "[tvwxyz]", "[0-9]", "[ ]", "[A-Z]"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").repartition(2)
+    found = df.select("k", "text", c.letter_encoder(F.col("text")).alias("v"))
+    assert "regexp_extract_all" not in found._jdf.queryExecution().executedPlan().toString()
+    expected = {k: [None if t is None else float(len(re.findall(g, t))) for g in groups] for k, t in enumerate(texts)}
+    assert {r["k"]: r["v"] for r in found.collect()} == expected
+
+
+def test_semantic_chunks_sort_sentences_once(spark, pages):
+    """One sort of the pages and one of the sentences: distances take the order that numbers and sections have."""
+    plan = c.semantic_chunks(pages, c.letter_encoder, 40)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2

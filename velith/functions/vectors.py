@@ -30,7 +30,11 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(size == 0, 0.0).otherwise(dot(a, b) / F.when(size != 0, size))
 
 
-def distance(a: Column | str, b: Column | str) -> Column:
-    """1 minus the product of unit vectors; a zero vector stays zero."""
-    unit = lambda v: F.when(norm(v) == 0, F.lit(1.0)).otherwise(norm(v))
-    return 1.0 - dot(a, b) / (unit(a) * unit(b))
+def unit_size(v: Column | str) -> Column:
+    """What a vector is divided by to be of length 1; a zero vector stays zero."""
+    return F.get(F.transform(F.array(norm(v)), lambda x: F.when(x == 0, 1.0).otherwise(x)), F.lit(0))
+
+
+def distance(a: Column | str, b: Column | str, size_a: Column | None = None, size_b: Column | None = None) -> Column:
+    """1 minus the product of unit vectors, whose sizes may be given; a zero vector stays zero."""
+    return 1.0 - dot(a, b) / ((unit_size(a) if size_a is None else size_a) * (unit_size(b) if size_b is None else size_b))

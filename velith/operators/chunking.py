@@ -12,14 +12,17 @@ not looked at; rows that repeat doc_id and page_number are ordered by text.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velith.functions import lexicon as lx
 from velith.functions.ids import chunk_id
 from velith.functions.text import count_tokens, detect_section, first_line, split_sentences, words
-from velith.functions.vectors import distance
+from velith.functions.vectors import distance, unit_size
 
 CHUNK = ["doc_id", "strategy", "chunk_index", "chunk_id", "text", "token_count", "page_start", "page_end", "section"]
 Encoder = Callable[[Column], Column]
@@ -38,29 +41,42 @@ def carry_sections(pages: DataFrame) -> DataFrame:
     return pages.withColumn("section", F.last(F.when(F.col("section") != "", F.col("section")), ignorenulls=True).over(order))
 
 
-def pages_to_sentences(pages: DataFrame, count: Counter = count_tokens) -> DataFrame:
-    """(doc_id, ix, text, page, section, n): sentences with their page, section and token count.
+def _sentences(pages: DataFrame, count: Counter) -> DataFrame:
+    """(doc_id, page_number, place, pos, text, event, n): sentences in the order of place and pos, with the section one starts.
 
-    A page starts in its own section if it has one; a sentence whose first line is a heading starts that section.  Pages are
-    numbered before they are cut, so a sentence carries its page's place and not the page's text.
+    Pages are numbered before they are cut, so a sentence carries its page's place and not the page's text.  The patterns of
+    headings stand in a lambda: few sentences need them, and compiled for all of them they make a method too large for the JIT.
     """
     place = Window.partitionBy("doc_id").orderBy("page_number", "text")
     placed = pages.select("doc_id", "page_number", "section", "text", F.rank().over(place).alias("place"))
     one = placed.select("doc_id", "page_number", "section", "place", F.posexplode_outer(split_sentences("text")).alias("pos", "sentence")).filter("pos is not null")
-    heading = F.when(F.col("sentence").rlike(lx.HEADING_START), detect_section(first_line("sentence")))
+    heading = F.when(F.substring("sentence", 1, 1).rlike(lx.HEADING_START), F.get(F.transform(F.array(first_line("sentence")), detect_section), F.lit(0)))
     start = F.when((F.col("pos") == 0) & (F.col("section") != ""), F.col("section"))
+    return one.select("doc_id", "page_number", "place", "pos", F.col("sentence").alias("text"), F.coalesce(heading, start).alias("event"), count(F.col("sentence")).alias("n"))
+
+
+def _numbered(sentences: DataFrame, *more: str) -> DataFrame:
+    """Sentences with their number and the section they are in."""
     order = Window.partitionBy("doc_id").orderBy("place", "pos")
-    rows = one.select("doc_id", "page_number", "place", "pos", F.col("sentence").alias("text"), F.coalesce(heading, start).alias("event"), count(F.col("sentence")).alias("n"))
-    return rows.select(
+    return sentences.select(
         "doc_id",
         (F.row_number().over(order) - 1).alias("ix"),
         "text",
         F.col("page_number").alias("page"),
         F.last("event", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("section"),
         "n",
+        *more,
     )
 
 
+def pages_to_sentences(pages: DataFrame, count: Counter = count_tokens) -> DataFrame:
+    """(doc_id, ix, text, page, section, n): sentences with their page, section and token count.
+
+    A page starts in its own section if it has one; a sentence whose first line is a heading starts that section.
+    """
+    return _numbered(_sentences(pages, count))
+
+
 def stamped(chunks: DataFrame, strategy: str) -> DataFrame:
     """Strategy name and chunk id on chunks that have the other columns."""
     named = chunks.withColumn("strategy", F.lit(strategy))
@@ -86,14 +102,18 @@ def fixed_chunks(pages: DataFrame, size: int = lx.FIXED_TOKENS, overlap: int = l
 
 
 def _packed(pieces: DataFrame, ranges: Column, strategy: str, count: Counter = count_tokens) -> DataFrame:
-    """Chunks from documents (doc_id, s: sorted pieces) and an expression for their (from, to) ranges."""
-    each = pieces.select("doc_id", "s", F.posexplode(ranges).alias("chunk_index", "r"))
-    own = each.select("doc_id", "chunk_index", F.slice("s", F.col("r.from") + 1, F.col("r.to") - F.col("r.from")).alias("s"))
-    text = F.array_join(F.transform("s", lambda x: x["text"]), " ")
-    pages = F.transform("s", lambda x: x["page"])
-    section = F.get(F.filter(F.transform("s", lambda x: x["section"]), lambda v: v.isNotNull()), F.lit(0))
-    out = own.select("doc_id", "chunk_index", text.alias("text"), F.array_min(pages).alias("page_start"), F.array_max(pages).alias("page_end"), section.alias("section"))
-    return stamped(out.withColumn("token_count", count(F.col("text"))), strategy)
+    """Chunks from documents (doc_id, s: sorted pieces) and an expression for their (from, to) ranges.
+
+    Tokens at white space are those of the pieces, as blanks join them; other counters see the chunk's text.
+    """
+    cols = [F.col(f"s.{c}").alias(c) for c in ("text", "page", "section", "n")]
+    each = pieces.select("doc_id", *cols, F.posexplode(ranges).alias("chunk_index", "r"))
+    part = lambda c: F.slice(c, F.col("r.from") + 1, F.col("r.to") - F.col("r.from")).alias(c)
+    own = each.select("doc_id", "chunk_index", F.array_join(part("text"), " ").alias("text"), part("page"), part("section"), part("n"))
+    section = F.get(F.filter("section", lambda v: v.isNotNull()), F.lit(0))
+    tokens = F.aggregate("n", F.lit(0), lambda a, v: a + v) if count is count_tokens else count(F.col("text"))
+    out = own.select("doc_id", "chunk_index", "text", F.array_min("page").alias("page_start"), F.array_max("page").alias("page_end"), section.alias("section"), tokens.alias("token_count"))
+    return stamped(out, strategy)
 
 
 def sentence_ranges(counts: Column, budget: int, overlap: int) -> Column:
@@ -111,7 +131,7 @@ def sentence_ranges(counts: Column, budget: int, overlap: int) -> Column:
         open_ = i > acc["start"]
         closed = F.when(open_, F.array_append(acc["out"], span(acc["start"], i))).otherwise(acc["out"])
         back = F.greatest(acc["start"], i - overlap)
-        carried = F.aggregate(F.slice(counts, back + 1, i - back), F.lit(0), lambda a, v: a + v) if overlap else F.lit(0)
+        carried = reduce(lambda a, k: a + F.when(i - k >= back, F.get(counts, i - k)).otherwise(0), range(1, overlap + 1), F.lit(0))
         alone = F.struct((i + 1).alias("start"), F.lit(0).alias("total"), F.array_append(closed, span(i, i + 1)).alias("out"))
         over = F.struct(back.alias("start"), (carried + n).alias("total"), closed.alias("out"))
         more = F.struct(acc["start"].alias("start"), (acc["total"] + n).alias("total"), acc["out"].alias("out"))
@@ -123,12 +143,12 @@ def sentence_ranges(counts: Column, budget: int, overlap: int) -> Column:
 
 def _documents(pieces: DataFrame, *more: str) -> DataFrame:
     item = F.struct("ix", "text", "page", "section", "n", *more)
-    return pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
+    return pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("s"))
 
 
 def sentence_chunks(pages: DataFrame, budget: int = lx.SENTENCE_TOKENS, overlap: int = lx.SENTENCE_OVERLAP, count: Counter = count_tokens) -> DataFrame:
     """Whole sentences packed greedily up to a budget of tokens."""
-    docs = _documents(pages_to_sentences(pages, count)).withColumn("counts", F.transform("s", lambda x: x["n"]))
+    docs = _documents(pages_to_sentences(pages, count)).withColumn("counts", F.col("s.n"))
     return _packed(docs, sentence_ranges(F.col("counts"), budget, overlap), "sentence", count)
 
 
@@ -149,25 +169,45 @@ def semantic_ranges(items: Column, budget: int, least: int, threshold: Column) -
     return F.when(size <= least, F.array(span(F.lit(0), size))).otherwise(folded)
 
 
-def with_distances(pieces: DataFrame, encoder: Encoder) -> DataFrame:
+def with_distances(pieces: DataFrame, encoder: Encoder, *order: str) -> DataFrame:
     """Pieces with ``d``: the distance of each sentence to the one before it (null for the first), to nine decimals."""
-    order = Window.partitionBy("doc_id").orderBy("ix")
-    return pieces.withColumn("v", encoder(F.col("text"))).withColumn("before", F.lag("v").over(order)).withColumn("d", F.when(F.col("before").isNotNull(), F.round(distance("before", "v"), 9))).drop("v", "before")
+    place = Window.partitionBy("doc_id").orderBy(*(order or ("ix",)))
+    sized = pieces.withColumn("v", encoder(F.col("text"))).withColumn("size", unit_size("v"))
+    both = sized.withColumn("before", F.lag(F.struct("v", "size")).over(place))
+    far = F.round(distance("before.v", "v", F.col("before.size"), F.col("size")), 9)
+    return both.withColumn("d", F.when(F.col("before").isNotNull(), far)).drop("v", "size", "before")
 
 
 def semantic_chunks(pages: DataFrame, encoder: Encoder, budget: int = lx.SEMANTIC_TOKENS, percentile: float = lx.SEMANTIC_PERCENTILE, least: int = lx.SEMANTIC_SENTENCES, count: Counter = count_tokens) -> DataFrame:
     """Sentences packed until the distance to the next is at or over the document's percentile of distances."""
-    far = with_distances(pages_to_sentences(pages, count), encoder)
+    far = _numbered(with_distances(_sentences(pages, count), encoder, "place", "pos"), "d")
     item = F.struct("ix", "text", "page", "section", "n", "d")
-    docs = far.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("s"), F.round(F.percentile("d", percentile), 9).alias("threshold"))
+    docs = far.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("s"), F.round(F.percentile("d", percentile), 9).alias("threshold"))
     docs = docs.withColumn("items", F.transform("s", lambda x, i: F.struct(i.alias("i"), x["n"].alias("n"), x["d"].alias("d"))))
     return _packed(docs, semantic_ranges(F.col("items"), budget, least, F.col("threshold")), "semantic", count)
 
 
 def letter_encoder(text: Column) -> Column:
     """A deterministic stand-in for a sentence encoder: counts of eight letter classes."""
-    groups = ["[aeiou]", "[bcdfg]", "[hjklm]", "[npqrs]", "[tvwxyz]", "[0-9]", "[ ]", "[A-Z]"]
-    return F.array(*(F.regexp_count(text, F.lit(g)).cast("double") for g in groups))
+    groups = ["aeiou", "bcdfg", "hjklm", "npqrs", "tvwxyz", "0123456789", " ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+
+    @F.arrow_udf("array<double>")
+    def encode(texts: pa.Array) -> pa.Array:
+        of = np.full(256, len(groups), np.int64)
+        for k, g in enumerate(groups):
+            of[list(g.encode())] = k
+        texts = texts.cast(pa.large_string())
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+        bytes_ = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+        width = len(groups) + 1
+        row = np.repeat(np.arange(len(texts)) * width, np.diff(ends))
+        found = np.bincount(row + of[bytes_], minlength=len(texts) * width).reshape(-1, width)[:, :-1].astype(float)
+        empty = np.repeat(np.asarray(texts.is_null()), len(groups))
+        at = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(groups))
+        return pa.ListArray.from_arrays(at, pa.array(found.ravel(), mask=empty))
+
+    return encode(text)
 
 
 def chunker(strategy: str, encoder: Encoder | None = None, **options) -> Callable[[DataFrame], DataFrame]:
