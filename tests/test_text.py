@@ -104,3 +104,18 @@ def test_white_space_is_named_the_same_way_everywhere():
 
     plain = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), lx.WS)
     assert set(lx.SPACES) == {chr(c) for c in range(0x10000) if re.fullmatch(plain, chr(c))}
+
+
+def test_cuts_need_no_character_that_a_text_may_have(spark):
+    raws = ["One. Two￿. See Abs. ￿. Three! (Four) Nr.  5. Six", "￿", "A.　B.\n\nÄ"]
+    assert value(spark, text.split_sentences("x"), raws) == [sentences(r) for r in raws]
+    plan = spark.createDataFrame([("x",)], "x string").select(text.split_sentences("x"))._jdf.queryExecution().executedPlan().toString()
+    assert lexicon.CUT in plan and "filter(" not in plan
+
+
+def test_tokens_at_any_white_space(spark):
+    """Blanks alone are cut at without a pattern; any other white space still counts."""
+    raws = ["a b", " a  b ", *(f"a{c}b {c}c" for c in lexicon.SPACES), "ä ö", "a​b"]
+    assert value(spark, text.count_tokens("x"), raws) == [2, 2, *[3] * len(lexicon.SPACES), 2, 1]
+    plan = spark.createDataFrame([("x",)], "x string").select(text.count_tokens("x"))._jdf.queryExecution().executedPlan().toString()
+    assert "array_remove(split(" in plan

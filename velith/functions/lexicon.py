@@ -39,6 +39,7 @@ NOISE_PATTERNS = (
 ABBREVIATIONS = ["Abs", "Nr", "lit", "vgl", "bzw", "ggf", "insb", "sog", "z.B", "u.a", "d.h", "Art", "S", "Ziff", "Buchst", "Satz", "Halbs", "evtl", "inkl", "ca", "Nrn", "BGBl", "i.V.m", "i.S.d", "i.d.R", "u.U", "z.T"]
 SENTENCE_MARKS = ".!?:;"
 SENTENCE_STARTS = "A-ZÄÖÜ§("
+CUT = "\uffff"  # stands for a cut while a text is split; no character of Unicode
 
 # Fixed values. Search terms: the section sign, a number with at most one letter, or a run of letters, digits and _.
 TERM = r"[§]|[0-9]+[a-z]?|[\p{L}\p{N}_]+"
