@@ -119,3 +119,13 @@ def test_tokens_at_any_white_space(spark):
     assert value(spark, text.count_tokens("x"), raws) == [2, 2, *[3] * len(lexicon.SPACES), 2, 1]
     plan = spark.createDataFrame([("x",)], "x string").select(text.count_tokens("x"))._jdf.queryExecution().executedPlan().toString()
     assert "array_remove(split(" in plan
+
+
+def test_a_table_is_cleaned_once(spark):
+    """Cells are cleaned once, not anew for each row, the rule and the test for an empty table."""
+    rows = [[["a"] * (1 + k % 3) for k in range(40)], [None, ["x"], None], [None], None]
+    body = ["| " + " | ".join(["a"] * (1 + k % 3) + [""] * (2 - k % 3)) + " |" for k in range(40)]
+    expected = ["\n".join([body[0], "| --- | --- | --- |", *body[1:]]), "| x |\n| --- |", "", None]
+    assert value(spark, text.table_to_markdown("x"), rows, "array<array<string>>") == expected
+    df = spark.createDataFrame([(1, [["x"]])], "k int, x array<array<string>>").repartition(2).select(text.table_to_markdown("x").alias("y"))
+    assert df._jdf.queryExecution().executedPlan().toString().count("trim(") == 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -81,19 +82,25 @@ def first_section(raw: Column | str) -> Column:
     return detect_section(F.regexp_extract(without_noise(raw), _headings(), 0))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it and in whatever lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def table_to_markdown(rows: Column | str) -> Column:
     """array<array<string>> as a Markdown table: null cells empty, empty rows dropped, short rows padded."""
     clean = F.transform(
         F.filter(col(rows), lambda r: r.isNotNull() & (F.size(r) > 0)),
         lambda r: F.transform(r, lambda c: strip(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" ")))),
     )
-    kept = F.filter(clean, lambda r: F.exists(r, lambda c: c != ""))
-    width = F.array_max(F.transform(kept, F.size))
-    padded = F.transform(kept, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
     row = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
-    body = F.transform(padded, row)
-    rule = row(F.array_repeat(F.lit("---"), width))
-    return F.when(F.size(kept) == 0, "").otherwise(F.array_join(F.concat(F.slice(body, 1, 1), F.array(rule), F.slice(body, 2, F.size(body))), "\n"))
+
+    def lines_of(kept: Column, width: Column) -> Column:
+        rule = F.concat(F.lit("\n"), row(F.array_repeat(F.lit("---"), width)))
+        return F.transform(kept, lambda r, i: F.concat(row(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))), F.when(i == 0, rule).otherwise("")))
+
+    kept = F.filter(clean, lambda r: F.exists(r, lambda c: c != ""))
+    return _bound(kept, lambda k: _bound(F.array_max(F.transform(k, F.size)), lambda w: F.array_join(lines_of(k, w), "\n")))
 
 
 def split_sentences(text: Column | str) -> Column:
@@ -128,7 +135,7 @@ def count_tokens(text: Column | str) -> Column:
     has = lambda chars: reduce(lambda x, y: x | y, [F.contains(own, F.lit(c)) for c in chars])
     other = has([c for c in lx.SPACES if c < "\x7f" and c != " "]) | ((F.octet_length(own) > F.length(own)) & has([c for c in lx.SPACES if c > "\x7f"]))
     plain = F.size(F.array_remove(F.split(own, " "), ""))
-    return F.coalesce(F.when(other, F.regexp_count(own, F.lit(rf"{lx.NOT_SPACE}+"))).when(own.isNotNull(), plain), F.lit(0))
+    return F.coalesce(F.when(other, F.size(F.array_remove(F.split(own, rf"{lx.SPACE}+"), ""))).when(own.isNotNull(), plain), F.lit(0))
 
 
 def is_term(t: Column) -> Column:

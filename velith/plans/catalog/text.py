@@ -45,7 +45,7 @@ def op_table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.col("l_linenumber")
     cells = F.when(line % 3 == 0, F.array(F.lit(None).cast("string"), F.lit(" "))).when(line % 3 == 1, F.array(F.col("l_returnflag"), F.concat("l_shipdate_d", F.lit("\nshipped ")))).otherwise(F.array(F.col("l_linestatus"), F.lit(None).cast("string"), F.col("l_partkey").cast("string")))
     rows = i.table(spark, sf_dir, "lineitem").withColumn("l_shipdate_d", F.date_format("l_shipdate", "yyyy-MM-dd")).select(F.col("l_orderkey").alias("doc_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate_d", cells.alias("cells")).alias("r"))
-    tables = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["cells"]).alias("t"))
+    tables = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list("r")).getField("cells").alias("t"))
     return tables.select("doc_id", table_to_markdown("t").alias("markdown"))
 
 
