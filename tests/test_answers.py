@@ -134,3 +134,20 @@ def test_only_texts_that_were_found_meet_the_results(spark):
     found = answering.found_in(chunks, results)
     assert sorted(r["id"] for r in found.collect()) == [4, 7]
     assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_citations_are_those_of_a_loop_by_one_pattern(spark):
+    import random
+    import re
+
+    def loop(text):
+        groups = [re.match(r"\s*([0-9]+(?:\s*,\s*[0-9]+)*)", g) for g in re.findall(r"\[([^\]\[]{0,120})\]", text)]
+        return sorted({int(n) for g in groups if g for n in g[1].split(",") if 1 <= int(n) <= 12})
+
+    draw = random.Random(7)
+    texts = ["[99999999999, 2]", ",5 [1", "[1] , 2", "[ 3\n,　4,x, 5]", "[" + "1," * 60 + "1]", "[" + "1," * 59 + "2]", "", "[1,,2]"]
+    texts += ["".join(draw.choices("[],0123 \t a", weights=[4, 4, 4, 1, 3, 3, 3, 3, 1, 1, 1], k=draw.randrange(40))) for _ in range(3000)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, x string").select("k", a.extract_citations("x", 12).alias("c"))
+    assert {r["k"]: r["c"] for r in df.collect()} == {k: loop(t) for k, t in enumerate(texts)}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract") == 1 and "flatten" not in plan

@@ -72,9 +72,8 @@ def expansions(text: Column | str, variants: int = lx.VARIANTS) -> Column:
 def extract_citations(answer: Column | str, sources: Column | str | int) -> Column:
     """Sorted distinct source numbers that brackets start with and that exist."""
     most = F.lit(sources) if isinstance(sources, int) else col(sources)
-    groups = F.transform(F.regexp_extract_all(col(answer), F.lit(lx.BRACKET), F.lit(1)), lambda g: F.regexp_extract(g, lx.LEADING_NUMBERS.replace(lx.WS, lx.SPACE), 1))
-    numbers = F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, ","))), lambda n: strip(n).try_cast("int"))
-    return F.array_sort(F.array_distinct(F.filter(numbers, lambda n: n.isNotNull() & (n >= 1) & (n <= most))))
+    numbers = F.regexp_extract_all(col(answer), F.lit(lx.CITED.replace(lx.WS, lx.SPACE)), F.lit(1)).try_cast("array<int>")
+    return F.sort_array(F.array_distinct(F.filter(numbers, lambda n: n.isNotNull() & (n >= 1) & (n <= most))))
 
 
 def is_refusal(answer: Column | str) -> Column:

@@ -75,7 +75,7 @@ GERMAN_MARKERS = [" der ", " die ", " das ", " den ", " dem ", " des ", " ein ",
 ENGLISH_MARKERS = [" the ", " a ", " an ", " and ", " or ", " is ", " are ", " was ", " were ", " not ", " what ", " when ", " where ", " who ", " why ", " which ", " how ", " many ", " much ", " must ", " may ", " can ", " should ", " for ", " with ", " from ", " to ", " in ", " on ", " under ", " does ", " do ", " i ", " my ", " of "]
 GERMAN_LETTERS = ["ä", "ö", "ü", "ß", "§"]
 
-# Fixed values. Answers: phrases of a refusal, brackets that may cite, and the numbers they may start with.
+# Fixed values. Answers: phrases of a refusal, and the numbers that brackets which may cite start with.
 REFUSALS = ["ich weiß es nicht", "weiss es nicht", "i don't know", "i do not know", "keine information", "nicht genügend", "not contain this information", "insufficient information", "cannot answer", "kann ich nicht beantworten"]
-BRACKET = r"\[([^\]\[]{0,120})\]"
-LEADING_NUMBERS = rf"^{WS}*(\d+(?:{WS}*,{WS}*\d+)*)"
+# A number that may cite: the first behind a bracket of at most 120 characters, or one behind a comma where the last one ended.
+CITED = rf"(?:\[(?=[^\]\[]{{0,120}}+\])|(?!\A)\G{WS}*,){WS}*(\d+)"
